@@ -154,10 +154,17 @@ def seen_before(rows: DataFrame, id_col: str, keys: list[Column], **chain) -> Da
 def error_report(rows: DataFrame, id_col: str, keys: list[Column], **chain) -> DataFrame:
     """One row: decisions, distinct keys, false alarms, measured rate, its bound, layers and bits."""
     decided = decisions(key_events(rows, id_col, keys), **chain)
-    alarms = first_sights(decided).agg(F.count("*").alias("distinct_keys"), F.coalesce(F.sum(F.col("false_alarm").cast("bigint")), F.lit(0)).alias("false_alarms"))
-    sizes = decided.agg(F.count("*").alias("decisions"), F.coalesce(F.max("bound"), F.lit(0.0)).alias("false_rate_bound"), F.coalesce(F.max("layers"), F.lit(0)).alias("layers"), F.coalesce(F.max("bits"), F.lit(0)).alias("bits_of_largest_shard"))
-    rate = F.when(F.col("distinct_keys") > 0, F.col("false_alarms") / F.col("distinct_keys")).otherwise(0.0)
-    return sizes.join(F.broadcast(alarms)).select("decisions", "distinct_keys", "false_alarms", rate.alias("false_rate"), "false_rate_bound", "layers", "bits_of_largest_shard")
+    alarms = first_sights(decided).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("false_alarm").cast("bigint")), F.lit(0)).alias("false")).first()
+    keys, false = int(alarms["n"]), int(alarms["false"])
+    return decided.agg(
+        F.count("*").alias("decisions"),
+        F.lit(keys).cast("bigint").alias("distinct_keys"),
+        F.lit(false).cast("bigint").alias("false_alarms"),
+        F.lit(false / max(keys, 1)).alias("false_rate"),
+        F.coalesce(F.max("bound"), F.lit(0.0)).alias("false_rate_bound"),
+        F.coalesce(F.max("layers"), F.lit(0)).alias("layers"),
+        F.coalesce(F.max("bits"), F.lit(0)).alias("bits_of_largest_shard"),
+    )
 
 
 def fetch_keys() -> list[Column]:
