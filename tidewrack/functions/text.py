@@ -49,7 +49,7 @@ def keep_token(token: Column, min_length: int = MIN_TOKEN_LENGTH) -> Column:
 
 def word_tokens(text: Column, pattern: str = WORD_PATTERN) -> Column:
     """Tokens without stopwords and without single characters."""
-    return F.filter(raw_tokens(text, pattern), keep_token)
+    return F.filter(raw_tokens(text, pattern), lambda t: keep_token(t))
 
 
 def padded(text: Column, normalize_whitespace: bool = True) -> Column:

@@ -83,14 +83,15 @@ def encode(texts: DataFrame, id_col: str, text_col: str, encoder, dim: int) -> D
 
     def run(frames):
         for f in frames:
-            known = f.t.notna()
-            out = pd.Series([None] * len(f), index=f.index, dtype=object)
-            if known.any():
-                x = np.asarray(encoder(f.t[known].tolist()), np.float32)
-                if x.shape != (int(known.sum()), dim):
+            known = np.flatnonzero(f.t.notna().to_numpy())
+            out: list = [None] * len(f)
+            if len(known):
+                x = np.asarray(encoder(f.t.iloc[known].tolist()), np.float32)
+                if x.shape != (len(known), dim):
                     raise ValueError(f"the encoder must return {dim} values a text")
-                out[known] = [row.tolist() for row in x]
-            yield pd.DataFrame({id_col: f[id_col], "embedding": out})
+                for i, row in zip(known, x):
+                    out[i] = row.tolist()
+            yield pd.DataFrame({id_col: f[id_col], "embedding": pd.Series(out, index=f.index, dtype=object)})
 
     kind = dict(texts.dtypes)[id_col]
     return texts.select(id_col, F.col(text_col).alias("t")).mapInPandas(run, f"{id_col} {kind}, embedding array<float>")

@@ -93,7 +93,7 @@ def _key(x: str) -> str:
 
 _RESOLVED = r"CASE WHEN h LIKE '#%' OR h = '' THEN split_part(url, '#', 1) ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || split_part(h, '#', 1) END"
 _LINKS = f"""SELECT DISTINCT page_id, url, regexp_replace({_RESOLVED}, '/+$', '') AS link
-    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM save_html_handler WHERE html IS NOT NULL AND url IS NOT NULL)"""
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href=["'']([^"'']*)["'']', 1)) AS h FROM save_html_handler WHERE html IS NOT NULL AND url IS NOT NULL)"""
 
 
 def oracle_sql() -> dict[str, str]:

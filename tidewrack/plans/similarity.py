@@ -220,8 +220,8 @@ def oracle_sql() -> dict[str, str]:
               round((SELECT count(*) FROM f JOIN t ON f.q = t.q AND f.d = t.d WHERE f.q = p.id) / greatest((SELECT count(*) FROM t WHERE t.q = p.id), 1)::DOUBLE, 6) AS recall
             FROM p WHERE p.id % {EVERY} = 0""",
         "ngram_search_rerank": f"""
-            WITH both AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
-            {_signed('both', 'id')}, {_banded()}, {_SIZES},
+            WITH mixed AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
+            {_signed('mixed', 'id')}, {_banded()}, {_SIZES},
             f AS MATERIALIZED (SELECT DISTINCT q.id AS q, b.id AS d FROM b q JOIN b ON q.band = b.band AND q.band_key = b.band_key WHERE q.id % 2 = 1 AND b.id % 2 = 0),
             capped AS MATERIALIZED (SELECT q, d, count(*) OVER (PARTITION BY q) AS candidate_size FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY d) <= {RERANK_K}),
             i AS (SELECT c.q, c.d, count(*) AS n FROM capped c JOIN g a ON a.id = c.q JOIN g b ON b.id = c.d AND a.gram = b.gram GROUP BY ALL),

@@ -128,7 +128,7 @@ def _estimates(configs) -> str:
         located AS MATERIALIZED (SELECT width, depth, row, h % width AS cell, term, tf FROM h, c WHERE row < depth),
         all_cells AS MATERIALIZED (SELECT width, depth, row, cell, sum(tf)::BIGINT AS cnt FROM located GROUP BY ALL),
         e AS (SELECT l.width, l.depth, l.term, l.tf, min(a.cnt) AS estimate, min(a.cnt) - l.tf AS error
-          FROM located l JOIN top USING (term) JOIN all_cells a ON l.width = a.width AND l.depth = a.depth AND l.row = a.row AND l.cell = a.cell GROUP BY ALL)"""
+          FROM located l JOIN top USING (term) JOIN all_cells a ON l.width = a.width AND l.depth = a.depth AND l.row = a.row AND l.cell = a.cell GROUP BY l.width, l.depth, l.term, l.tf)"""
 
 
 def _summary(configs) -> str:
@@ -149,7 +149,7 @@ def _layer_values(configs, n_max: int) -> str:
 
 def _bloom(inserts: str, configs, n_max: int) -> str:
     return f"""
-        keys AS (SELECT key, row_number() OVER (ORDER BY min(at), key) - 1 AS rank FROM ({inserts}) GROUP BY key),
+        keys AS (SELECT key, row_number() OVER (ORDER BY min(born), key) - 1 AS rank FROM ({inserts}) GROUP BY key),
         layers AS (SELECT * FROM {_layer_values(configs, n_max)} WHERE first < greatest((SELECT count(*) FROM keys), 1)),
         bits AS MATERIALIZED (SELECT DISTINCT config, layer, ({_half('key')} % bits + i * ({_half('key', 1)} % bits)) % bits AS bit
           FROM keys JOIN layers ON rank >= first AND rank < last, range(64) r(i) WHERE i < hashes)"""
@@ -166,7 +166,7 @@ def _claimed(probes: str) -> str:
 
 def _measured(n_insert: int, n_absent: int, configs) -> str:
     earlier = f"{_half("'ref' || i::VARCHAR")} % greatest(i, 1)"
-    inserts = f"SELECT 'https://example.com/' || substr(md5('path' || (CASE WHEN i > 0 AND {_half("'dup' || i::VARCHAR")} % 1000 < 300 THEN {earlier} ELSE i END)::VARCHAR), 1, 12) AS key, i AS at FROM range({n_insert}) r(i)"
+    inserts = f"SELECT 'https://example.com/' || substr(md5('path' || (CASE WHEN i > 0 AND {_half("'dup' || i::VARCHAR")} % 1000 < 300 THEN {earlier} ELSE i END)::VARCHAR), 1, 12) AS key, i AS born FROM range({n_insert}) r(i)"
     probes = f"SELECT 'https://nonexistent.com/' || substr(md5('absent' || i::VARCHAR), 1, 12) AS key FROM range({n_absent}) r(i)"
     given = ", ".join(f"({i}, {c}, {p}::DOUBLE, {x})" for i, (c, p, x) in enumerate(configs))
     return f"""
@@ -178,7 +178,7 @@ def _measured(n_insert: int, n_absent: int, configs) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    fetched = f"SELECT {_KEY} AS key, fetch_id AS at FROM fetch_info WHERE url IS NOT NULL"
+    fetched = f"SELECT {_KEY} AS key, fetch_id AS born FROM fetch_info WHERE url IS NOT NULL"
     values = ", ".join(f"('{t.lower()}')" for t in TERMS)
     return {
         "cms_cells": f"WITH {_cells()} SELECT row::INT AS row, cell, cnt FROM cells",

@@ -37,7 +37,7 @@ def tf_lookup(spark, d):
 
 def tf_stopword_filter(spark, d):
     tokens = _docs(spark, d).select("doc_id", text.raw_tokens(F.col("text")).alias("t"))
-    return tokens.select("doc_id", F.size("t").cast("bigint").alias("before"), F.size(F.filter("t", text.keep_token)).cast("bigint").alias("after"))
+    return tokens.select("doc_id", F.size("t").cast("bigint").alias("before"), F.size(F.filter("t", lambda t: text.keep_token(t))).cast("bigint").alias("after"))
 
 
 def word_tokens(spark, d):
@@ -62,7 +62,7 @@ def snippet(spark, d):
 
 
 def warc_documents(spark, d):
-    return document_texts(spread(table(spark, d, "warc_document_texts").select("record_id", "rec_type", "payload"))).select("record_id", "text")
+    return document_texts(spread(table(spark, d, "warc_document_texts").select("record_id", "rec_type", "payload")), only_markup=True).select("record_id", "text")
 
 
 def clean_html(spark, d):
@@ -106,5 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "normalize_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '(http|www)\S+', ' ', 'g'), '[^a-zA-Z]+', ' ', 'g'), ' ') AS normalized FROM documents WHERE text IS NOT NULL",
         "truncate_text": "SELECT doc_id, length(substr(text, 1, 20000)) AS n, md5(substr(text, 1, 20000)) AS text_md5 FROM documents WHERE text IS NOT NULL",
         "snippet": f"SELECT doc_id, CASE WHEN length({_FLAT}) > 350 THEN substr({_FLAT}, 1, 350) || '...' ELSE {_FLAT} END AS snippet FROM documents WHERE text IS NOT NULL",
-        "warc_documents": "SELECT record_id, text FROM warc_document_texts WHERE rec_type = 'response' AND payload IS NOT NULL",
+        "warc_documents": "SELECT record_id, text FROM warc_document_texts WHERE rec_type = 'response' AND payload <> '' AND NOT starts_with(payload, '%PDF-')",
     }

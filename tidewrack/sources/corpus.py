@@ -81,9 +81,15 @@ def write_warc(path: str, records: list[tuple[str, str, bytes]]) -> None:
             f.write(gzip.compress(head.encode() + content + b"\r\n\r\n"))
 
 
-def document_texts(records: DataFrame, payload: str = "payload", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """Responses with a payload, and their cleaned, normalized and truncated ``text``; a null payload gives no document."""
+def document_texts(records: DataFrame, payload: str = "payload", max_chars: int = MAX_TEXT_CHARS, only_markup: bool = False) -> DataFrame:
+    """Responses with a payload, and their cleaned, normalized and truncated ``text``; a null payload gives no document.
+
+    Responses of any content type count, unless ``only_markup`` leaves out empty
+    payloads and those that begin with the mark of a PDF.
+    """
     kept = records.where((F.col("rec_type") == "response") & F.col(payload).isNotNull())
+    if only_markup:
+        kept = kept.where((F.col(payload) != "") & ~F.startswith(F.col(payload), F.lit("%PDF-")))
     return kept.withColumn("text", preprocess_html(F.col(payload), max_chars))
 
 
