@@ -295,12 +295,14 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 6
         return both.repartition(max(parallel, 4 * n_groups), "grp").sortWithinPartitions("grp", "q").mapInPandas(answer, schema)
 
     if min_cosine is not None:
-        bounded = asked.withColumn("far", F.lit(2 - 2 * min_cosine + 1e-7))
+        got = run(asked.withColumn("far", F.lit(2 - 2 * min_cosine + 1e-7)), False)
     else:
         free = asked.withColumn("far", F.lit(4.0))
-        home = stage(run(free, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (2 - 2 * F.col("cosine") + 1e-7).alias("far")), "home")
-        bounded = asked.join(home, "id", "left").withColumn("far", F.coalesce("far", F.lit(4.0)))
-    got = run(bounded, False)
+        home = stage(run(free, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "home")
+        bound = home.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (2 - 2 * F.col("cosine") + 1e-7).alias("far"))
+        bounded = asked.join(bound, "id", "left").withColumn("far", F.coalesce("far", F.lit(4.0)))
+        # What the home cell gave stays, whatever its projected distance.
+        got = run(bounded, False).unionAll(home.drop("rank")).distinct()
     return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
