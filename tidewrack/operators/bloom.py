@@ -58,10 +58,13 @@ def _options(shapes: list[list[Layer]]) -> Column:
     )
 
 
-def _bits(keys: DataFrame, key: str) -> DataFrame:
-    """One row for each bit of a key in the layer of its row: double hashing of two halves of the MD5."""
-    h1, h2 = md5_number(F.col(key)), md5_number(F.col(key), 1)
-    hashed = keys.withColumn("h1", h1).withColumn("h2", h2)
+def _hashed(keys: DataFrame) -> DataFrame:
+    """Adds two independent hashes of ``key``, once a key and ahead of any configuration."""
+    return keys.withColumn("h1", md5_number(F.col("key"))).withColumn("h2", md5_number(F.col("key"), 1))
+
+
+def _bits(hashed: DataFrame) -> DataFrame:
+    """One row for each bit of a key in the layer of its row, by double hashing."""
     one = hashed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hashes") - 1)))
     return one.withColumn("bit", (F.col("h1") % F.col("bits") + F.col("i") * (F.col("h2") % F.col("bits"))) % F.col("bits"))
 
@@ -81,14 +84,14 @@ class Bloom:
         n = ranked.count()
         shapes = [layers(n, c, p, x, tightening) for c, p, x in configs]
         own = F.filter(_options(shapes), lambda x: (F.col("rank") >= x["first"]) & (F.col("rank") < x["last"]))
-        placed = ranked.select("key", F.explode(own).alias("l")).select("key", "l.*")
-        return cls(_bits(placed, "key").select("config", "layer", "bit").distinct(), shapes)
+        placed = _hashed(ranked.select("key", "rank")).select("h1", "h2", F.explode(own).alias("l")).select("h1", "h2", "l.*")
+        return cls(_bits(placed).select("config", "layer", "bit").distinct(), shapes)
 
     def contains(self, probes: DataFrame, key: str) -> DataFrame:
         """(``config``, ``key``): the distinct probes that some layer holds all bits of."""
         asked = probes.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-        each = asked.select("key", F.explode(_options(self.shapes)).alias("l")).select("key", "l.*")
-        wanted = _bits(each, "key").select("config", "layer", "key", "bit").distinct()
+        each = _hashed(asked).select("key", "h1", "h2", F.explode(_options(self.shapes)).alias("l")).select("key", "h1", "h2", "l.*")
+        wanted = _bits(each).select("config", "layer", "key", "bit").distinct()
         per_key = wanted.groupBy("config", "layer", "key").agg(F.count("*").alias("need"))
         hits = wanted.join(self.set_bits, ["config", "layer", "bit"]).groupBy("config", "layer", "key").agg(F.count("*").alias("hit"))
         return hits.join(per_key, ["config", "layer", "key"]).where("hit = need").select("config", "key").distinct()
