@@ -268,3 +268,35 @@ def test_quality(spark):
     assert got[4].n_words == 4 and got[4].n_lines == 3 and got[4].ending_share == 2 / 3 and got[4].symbol_share == 3 / 7
     assert got[5].kind == "list" and got[5].bullet_share == 1
     assert got[1].top_3gram_share > 0.1
+
+
+# -- empty tables and clashing columns
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([], "src string, rec_id bigint, url string, html string")
+    assert main_content.main_blocks(pages).count() == 0 and main_content.body_texts(pages).count() == 0
+    texts = spark.createDataFrame([], "record_id bigint, payload string")
+    repair = encoding_repair.Repair(texts, "record_id", "payload")
+    assert repair.found().count() == 0 and repair.restored().count() == 0 and repair.report().first().garbled == 0
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert packing.pack_documents(docs).count() == 0
+    assert packing.packing_report(packing.pack_documents(docs)).first().containers == 0
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id bigint, text string")
+    assert leakage.leaks(docs, items).count() == 0 and leakage.decontaminate(docs, items).count() == 0
+    common = spark.createDataFrame([], "lang string, word string")
+    assert quality.quality_stats(docs, common).count() == 0
+    keys = spark.createDataFrame([], "n bigint, a string")
+    assert seen_keys.seen_before(keys, "n", [F.col("a")]).count() == 0
+    assert seen_keys.error_report(keys, "n", [F.col("a")]).first().decisions == 0
+
+
+def test_very_long_text(spark):
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, long, "clash"), (2, None, "clash")], "doc_id bigint, text string, words string")
+    packed = packing.pack_documents(docs)
+    assert packed.where("doc_id = 1").agg(F.sum("tokens")).first()[0] == 400_000
+    common = spark.createDataFrame([("en", "word")], "lang string, word string")
+    assert quality.quality_stats(docs, common).first().n_words == 400_000
+    pages = spark.createDataFrame([("s", 1, "http://h/", f"<title>Long</title><h1>Long</h1><p>{long}</p>")], "src string, rec_id bigint, url string, html string")
+    assert main_content.main_blocks(pages).count() == 2
