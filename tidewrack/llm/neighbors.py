@@ -125,6 +125,8 @@ def search(ids, vecs, proj, leaves, qids, qvecs, qproj, k, bound, quantile):
     ``bound``: squared distances no neighbour may exceed, one for each query.
     Ties go to the lower id.
     """
+    # One product per pair of blocks: (-2q, 1, |q|^2 - limit) . (p, |p|^2, 1) is the projected distance less the limit.
+    sides = np.column_stack([proj, (proj * proj).sum(axis=1), np.ones(len(proj), np.float32)])
     lo = np.stack([proj[r].min(axis=0) for r in leaves])
     hi = np.stack([proj[r].max(axis=0) for r in leaves])
     groups = kd_leaves(qproj, QUERY_BLOCK)
@@ -139,18 +141,18 @@ def search(ids, vecs, proj, leaves, qids, qvecs, qproj, k, bound, quantile):
         best_i = np.full((len(g), k), np.iinfo(np.int64).max)
         far = bound[g].astype(np.float64)
         qn = (qp * qp).sum(axis=1)
+        ask = np.column_stack([-2 * qp, np.ones(len(g), np.float32), qn]).astype(np.float32)
         at = 0
         while at < len(order):
             limit = far * quantile
             if box[order[at]] > limit.max():
                 break
-            take = order[at : at + 16]
+            take = order[at : at + 8]
             take = take[box[take] <= limit.max()]
-            at += 16
+            at += 8
             rows = np.concatenate([leaves[j] for j in take])
-            pp = proj[rows]
-            d2 = qn[:, None] + (pp * pp).sum(axis=1)[None, :] - 2 * (qp @ pp.T)
-            a, b = np.nonzero(d2 <= limit[:, None].astype(np.float32))
+            ask[:, -1] = qn - limit
+            a, b = np.divmod(np.flatnonzero(ask @ sides[rows].T <= 1e-5), len(rows))
             if not len(a):
                 continue
             keep = ids[rows[b]] != qi[a]
