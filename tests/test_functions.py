@@ -135,3 +135,21 @@ def test_exact_searches(spark):
     for i in range(0, 40, 10):
         best = sorted(range(40), key=lambda j: (-round(jac(sets[i][1], sets[j][1]), 9), j))[:30]
         assert [got[i, k + 1] for k in range(30)] == best
+
+
+def test_embedding_search_scores_all(spark):
+    """The best answer has the highest id of many candidates."""
+    from tidewrack.operators.search import EmbeddingIndex
+
+    r = np.random.default_rng(5)
+    base = r.normal(size=8)
+    rows = [(i, [float(x) for x in base + r.normal(size=8) * 0.3]) for i in range(80)] + [(900, [float(x) for x in base])]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>")
+    q = spark.createDataFrame([(1, rows[-1][1])], "query_id bigint, embedding array<float>")
+    index = EmbeddingIndex(df, 8, lsh.LshConfig(16, 1))
+    best = index.search(q, 5, None).orderBy("rank").collect()
+    found = [x.doc_id for x in index.candidates(q)[1].collect()]
+    v = {i: np.array(x, np.float32).astype(float) for i, x in rows}
+    cos = {i: v[i] @ v[900] / np.linalg.norm(v[i]) / np.linalg.norm(v[900]) for i in found}
+    assert len(found) > 50 and best[0].candidate_size == len(found)
+    assert [x.doc_id for x in best] == sorted(found, key=lambda i: -cos[i])[:5] and best[0].doc_id == 900

@@ -183,7 +183,12 @@ def _rerank(found, queries, docs, k, limit, query_id, id_col, col, score):
     kept = cap(found, limit, query_id, id_col)
     q = queries.select(query_id, F.col(col).alias("_q"))
     d = docs.select(id_col, F.col(col).alias("_d"))
-    scored = kept.join(d, id_col).join(q, query_id).select(query_id, id_col, F.round(score(F.col("_q"), F.col("_d")), 9).alias("score"))
+    if limit:
+        pairs = kept.join(d, id_col).join(q, query_id)
+    else:
+        # All candidates: a document meets its queries once, so its value isn't sent once a pair.
+        pairs = kept.groupBy(id_col).agg(F.collect_list(query_id).alias("_asked")).join(d, id_col).select(id_col, "_d", F.explode("_asked").alias(query_id)).join(q, query_id)
+    scored = pairs.select(query_id, id_col, F.round(score(F.col("_q"), F.col("_d")), 9).alias("score"))
     return top(scored, k, query_id, id_col).join(sizes, query_id).select(query_id, "candidate_size", "rank", id_col, "score")
 
 

@@ -101,6 +101,11 @@ def embedding_search_rerank(spark, d):
     return EmbeddingIndex(_vectors(spark, d), DIM, SWEEP[0]).search(_asked(_vectors(spark, d)), TOP_K, RERANK_K)
 
 
+def embedding_search_all(spark, d):
+    """As ``embedding_search_rerank``, but every candidate is scored."""
+    return EmbeddingIndex(_vectors(spark, d), DIM, SWEEP[0]).search(_asked(_vectors(spark, d)), TOP_K, None)
+
+
 def _evaluated(vectors: DataFrame, truth: DataFrame, configs) -> DataFrame:
     """All configurations share one signature of the same length and one query sample."""
     c = configs[0]
@@ -154,7 +159,7 @@ def mean_pooled(spark, d):
 
 
 def queries() -> dict:
-    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_band_sweep, lsh_contrast_report, mean_pooled]
+    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_search_all, embedding_band_sweep, lsh_contrast_report, mean_pooled]
     return {f.__name__: f for f in named}
 
 
@@ -235,6 +240,10 @@ def oracle_sql() -> dict[str, str]:
             capped AS (SELECT q, d, count(*) OVER (PARTITION BY q) AS candidate_size FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY d) <= {RERANK_K}),
             j AS (SELECT q, d, candidate_size, round(coalesce({_COSINE}, 0.0), 9) AS score FROM capped JOIN e x ON x.id = q JOIN e y ON y.id = d)
             SELECT q AS query_id, candidate_size, row_number() OVER (PARTITION BY q ORDER BY score DESC, d)::INT AS rank, d AS doc_id, score FROM j QUALIFY rank <= {TOP_K}""",
+        "embedding_search_all": f"""WITH {_bits(SWEEP[0])}, {_bit_bands(SWEEP[0])},
+            f AS MATERIALIZED (SELECT DISTINCT x.id AS q, y.id AS d FROM b x JOIN b y ON x.band = y.band AND x.band_key = y.band_key WHERE x.id % {EVERY} = 0),
+            j AS (SELECT q, d, count(*) OVER (PARTITION BY q) AS candidate_size, round(coalesce({_COSINE}, 0.0), 9) AS score FROM f JOIN e x ON x.id = q JOIN e y ON y.id = d)
+            SELECT q AS query_id, candidate_size, row_number() OVER (PARTITION BY q ORDER BY score DESC, d)::INT AS rank, d AS doc_id, score FROM j QUALIFY rank <= {TOP_K}""",
         "embedding_band_sweep": f"""WITH {_bits(EMBEDDING_LSH)}, {', '.join(_bit_bands(c, f'b{n}') for n, c in enumerate(SWEEP))},
             t AS MATERIALIZED (SELECT x.id AS q, y.id AS d, row_number() OVER (PARTITION BY x.id ORDER BY round(coalesce({_COSINE}, 0.0), 9) DESC, y.id) AS rank FROM e x, e y WHERE x.id % {EVERY} = 0 QUALIFY rank <= {COSINE_K}),
             q AS (SELECT id, (SELECT count(*) FROM t WHERE t.q = e.id) AS wanted FROM e WHERE id % {EVERY} = 0),
