@@ -153,3 +153,14 @@ def test_embedding_search_scores_all(spark):
     cos = {i: v[i] @ v[900] / np.linalg.norm(v[i]) / np.linalg.norm(v[900]) for i in found}
     assert len(found) > 50 and best[0].candidate_size == len(found)
     assert [x.doc_id for x in best] == sorted(found, key=lambda i: -cos[i])[:5] and best[0].doc_id == 900
+
+
+def test_ngram_search_scores_all(spark):
+    """The best answer has the highest id of many candidates."""
+    from tidewrack.operators.search import NgramIndex
+
+    rows = [(i, f"the same words in every text but for {i} and {i * 7}") for i in range(70)] + [(900, "the same words in every text but for none"), (901, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, rows[70][1]), (2, None)], "query_id bigint, text string")
+    best = NgramIndex(df).search(q, 5, None).orderBy("rank").collect()
+    assert best[0].candidate_size > 50 and (best[0].doc_id, best[0].score) == (900, 1.0) and len(best) == 5

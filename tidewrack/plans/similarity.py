@@ -83,6 +83,12 @@ def ngram_search_rerank(spark, d):
     return NgramIndex(_docs(spark, d)).search(queries, TOP_K, RERANK_K)
 
 
+def ngram_search_all(spark, d):
+    """As ``ngram_search_rerank``, but every candidate is scored."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return NgramIndex(_docs(spark, d)).search(queries, TOP_K, None)
+
+
 def hyperplane_signatures(spark, d):
     bits = hyperplane_bits(F.col("embedding"), EMBEDDING_LSH.num_hashes, DIM, EMBEDDING_LSH.seed)
     return _vectors(spark, d).select(F.col("doc_id").alias("vec_id"), bits.alias("signature"))
@@ -159,7 +165,7 @@ def mean_pooled(spark, d):
 
 
 def queries() -> dict:
-    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_search_all, embedding_band_sweep, lsh_contrast_report, mean_pooled]
+    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, ngram_search_all, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_search_all, embedding_band_sweep, lsh_contrast_report, mean_pooled]
     return {f.__name__: f for f in named}
 
 
@@ -232,6 +238,14 @@ def oracle_sql() -> dict[str, str]:
             i AS (SELECT c.q, c.d, count(*) AS n FROM capped c JOIN g a ON a.id = c.q JOIN g b ON b.id = c.d AND a.gram = b.gram GROUP BY ALL),
             j AS (SELECT c.q, c.d, c.candidate_size, round(coalesce(i.n / (x.n + y.n - i.n)::DOUBLE, 0.0), 9) AS score FROM capped c LEFT JOIN i ON i.q = c.q AND i.d = c.d JOIN n x ON x.id = c.q JOIN n y ON y.id = c.d)
             SELECT (q - 1) // 2 AS query_id, candidate_size, row_number() OVER (PARTITION BY q ORDER BY score DESC, d)::INT AS rank, d // 2 AS doc_id, score FROM j QUALIFY rank <= {TOP_K}""",
+        "ngram_search_all": f"""
+            WITH mixed AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
+            {_signed('mixed', 'id')}, {_banded()}, {_SIZES},
+            f AS MATERIALIZED (SELECT DISTINCT q.id AS q, b.id AS d FROM b q JOIN b ON q.band = b.band AND q.band_key = b.band_key WHERE q.id % 2 = 1 AND b.id % 2 = 0),
+            c AS MATERIALIZED (SELECT q, d, count(*) OVER (PARTITION BY q) AS candidate_size FROM f),
+            i AS (SELECT c.q, c.d, count(*) AS n FROM c JOIN g a ON a.id = c.q JOIN g b ON b.id = c.d AND a.gram = b.gram GROUP BY ALL),
+            j AS (SELECT c.q, c.d, c.candidate_size, round(coalesce(i.n / (x.n + y.n - i.n)::DOUBLE, 0.0), 9) AS score FROM c LEFT JOIN i ON i.q = c.q AND i.d = c.d JOIN n x ON x.id = c.q JOIN n y ON y.id = c.d)
+            SELECT (q - 1) // 2 AS query_id, candidate_size, row_number() OVER (PARTITION BY q ORDER BY score DESC, d)::INT AS rank, d // 2 AS doc_id, score FROM j QUALIFY rank <= {TOP_K}""",
         "hyperplane_signatures": f"WITH {_bits(EMBEDDING_LSH)} SELECT id AS vec_id, bits AS signature FROM s",
         "lsh_embedding_candidates": f"WITH {_bits(EMBEDDING_LSH)}, {_bit_bands(EMBEDDING_LSH)} SELECT DISTINCT x.id AS query_id, y.id AS doc_id FROM b x JOIN b y ON x.band = y.band AND x.band_key = y.band_key WHERE x.id % {EVERY} = 0",
         "cosine_topk_exact": f"WITH e AS ({_VEC}) SELECT x.id AS query_id, y.id AS doc_id, round(coalesce({_COSINE}, 0.0), 9) AS score, row_number() OVER (PARTITION BY x.id ORDER BY round(coalesce({_COSINE}, 0.0), 9) DESC, y.id)::INT AS rank FROM e x, e y WHERE x.id % {EVERY} = 0 QUALIFY rank <= {COSINE_K}",
