@@ -164,3 +164,14 @@ def test_ngram_search_scores_all(spark):
     q = spark.createDataFrame([(1, rows[70][1]), (2, None)], "query_id bigint, text string")
     best = NgramIndex(df).search(q, 5, None).orderBy("rank").collect()
     assert best[0].candidate_size > 50 and (best[0].doc_id, best[0].score) == (900, 1.0) and len(best) == 5
+
+
+def test_reach_to_the_end(spark, tmp_path):
+    """A chain of 20 links behind a loop, from a seed with a high id, without and with an empty parent."""
+    from tidewrack.plans import crawl
+
+    rows = [(1000 + i, f"http://h/{i}", "" if i == 0 else f"http://h/{i - 1}", [f"http://h/{i + 1}", "http://h/0"]) for i in range(20)]
+    rows += [(2000, "http://h/alone/", None, [])]
+    spark.createDataFrame(rows, "fetch_id bigint, url string, parent_url string, out_links array<string>").write.parquet(f"{tmp_path}/fetch_info.parquet")
+    got = {r.url: r.depth for r in crawl.crawl_bfs_all(spark, str(tmp_path)).collect()}
+    assert got == {f"http://h/{i}": i for i in range(21)} | {"http://h/alone": 0}

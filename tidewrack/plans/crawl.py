@@ -57,6 +57,14 @@ def crawl_bfs(spark, d):
     return crawl.reach(edges, seeds, MAX_DEPTH)
 
 
+def crawl_bfs_all(spark, d):
+    """As ``crawl_bfs``, from all URLs without a parent, until nothing new is reached."""
+    f = table(spark, d, "fetch_info").where("url is not null")
+    edges = f.select(url_key(F.col("url")).alias("src"), F.explode("out_links").alias("link")).select("src", url_key(F.col("link")).alias("dst"))
+    seeds = f.where("coalesce(parent_url, '') = ''").select(url_key(F.col("url")).alias("url"))
+    return crawl.reach(edges, seeds, None)
+
+
 def crawl_saved_pages(spark, d):
     """A crawl whose network is the table of saved pages."""
     pages = table(spark, d, "save_html_handler").where("url is not null and html is not null").select("url", "html")
@@ -83,7 +91,7 @@ def _tag() -> str:
 
 
 def queries() -> dict:
-    named = [page_links, normalized_urls, url_domains, html_fetches, fetch_metadata, save_manifest, crawl_bfs, crawl_saved_pages, stream_dedupe_events, stream_term_frequencies]
+    named = [page_links, normalized_urls, url_domains, html_fetches, fetch_metadata, save_manifest, crawl_bfs, crawl_bfs_all, crawl_saved_pages, stream_dedupe_events, stream_term_frequencies]
     return {f.__name__: f for f in named}
 
 
@@ -110,6 +118,10 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT DISTINCT {_key('url')} AS url, 0 AS depth FROM fetch_info WHERE fetch_id < 20 AND url IS NOT NULL
               UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < {MAX_DEPTH})
             SELECT url, min(depth)::INT AS depth FROM r GROUP BY url""",
+        "crawl_bfs_all": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT {_key('url')} AS src, {_key('link')} AS dst FROM (SELECT url, unnest(out_links) AS link FROM fetch_info WHERE url IS NOT NULL) WHERE link IS NOT NULL),
+            r(url, depth) USING KEY (url) AS (SELECT DISTINCT {_key('url')} AS url, 0 AS depth FROM fetch_info WHERE coalesce(parent_url, '') = '' AND url IS NOT NULL
+              UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON r.url = e.src WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS known WHERE known.url = e.dst) GROUP BY e.dst)
+            SELECT url, depth::INT AS depth FROM r""",
         "stream_dedupe_events": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
         "stream_term_frequencies": f"SELECT term, tf FROM ({TF}) ORDER BY tf DESC, term LIMIT 100",
     }

@@ -17,6 +17,8 @@ from tidewrack.functions.urls import authority, extract_links
 from tidewrack.runtime import stage, stage_counted
 
 MAX_OUT_LINKS = 50
+#: Levels after which those found so far are written as one table, so that a deep walk's plan stays short.
+MERGE_EVERY = 16
 ITEM = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -127,17 +129,23 @@ def crawl(seeds: DataFrame, fetch: Fetcher, allowed_domain: str | None = None, m
     return done if done is not None else fetch_info(fetch(seeds.limit(0)).withColumn("links", F.array().cast("array<string>")), now=now)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(``url``, ``depth``): nodes of a link graph within ``max_depth`` steps of the seeds (column ``url``)."""
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(``url``, ``depth``): nodes of a link graph within ``max_depth`` steps of the seeds (column ``url``); all that can be reached for None."""
     links = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("url"), F.col(dst).alias("to")).distinct()
     level = stage(seeds.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)), "level")
     all_ = level
-    for depth in range(1, max_depth + 1):
+    if max_depth is None:
+        links = stage(links, "links")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = level.join(links, "url").select(F.col("to").alias("url")).distinct().join(all_.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
         level, n = stage_counted(nxt, "level", rows=F.lit(1))
         if not n["rows"]:
             break
         all_ = all_.unionAll(level)
+        if depth % MERGE_EVERY == 0:
+            all_ = stage(all_, "reached")
     return all_
 
 
