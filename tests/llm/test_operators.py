@@ -57,6 +57,14 @@ def test_near_duplicates_empty(spark):
     assert d.record_pairs().count() == 0 and d.groups().count() == 0
 
 
+def test_near_duplicate_groups_have_every_record(spark):
+    rows = list(enumerate(["blog", "", "a b c d", "blog", None, "a  b c d", " ", "a b c d e", "b a", None]))
+    df = spark.createDataFrame(rows, "doc bigint, body string")
+    got = {r.id: (r.class_id, r.group_id, r.links) for r in near_duplicates.Duplicates(df, "doc", "body").groups().collect()}
+    first = {0: 0, 1: 1, 2: 2, 3: 0, 5: 2, 6: 1, 7: 7, 8: 8}
+    assert got == {i: (c, c, 0) for i, c in first.items()} | {i: (None, None, 0) for i in (4, 9)}
+
+
 def test_sketch_estimates_similarity():
     walks = near_duplicates._walks()
     r = np.random.default_rng(0)

@@ -56,10 +56,9 @@ class Shingler:
         self.n, self.room, self.known = n, room, {}
 
     def shingles(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the runs of ``n`` words (split at spaces)."""
+        """Sorted distinct hashes of the runs of ``n`` words (split at spaces); a shorter text is one run, the empty one too."""
         words = [w for w in text.split(" ") if w]
-        if len(words) < self.n:
-            return np.zeros(0, np.uint64)
+        run = min(self.n, len(words))
         if len(self.known) > self.room:
             self.known.clear()
         known, digest = self.known, xxhash.xxh64_intdigest
@@ -70,10 +69,10 @@ class Shingler:
                 h = known[w] = digest(w)
             ids.append(h)
         a = np.array(ids, np.uint64)
-        h = np.zeros(len(a) - self.n + 1, np.uint64)
+        h = np.zeros(len(a) - run + 1, np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(self.n):
-                h = _mix(h * _M3 + a[j : len(a) - self.n + 1 + j])
+            for j in range(run):
+                h = _mix(h * _M3 + a[j : len(a) - run + 1 + j])
         return np.unique(h)
 
 
@@ -103,8 +102,7 @@ def sketch(shingles: np.ndarray, walks: np.ndarray) -> np.ndarray:
 def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, min_words: int = 0) -> DataFrame:
     """(``id``, ``digest1``, ``digest2``, ``n``, ``shingles``, ``bands``, ``bits``), written as a table.
 
-    Rows with a null id or text, fewer than ``min_words`` words or no shingle at
-    all are left out. ``digest`` tells equal shingle sets; ``bits`` are the low
+    Rows with a null id or text or fewer than ``min_words`` words are left out. ``digest`` tells equal shingle sets; ``bits`` are the low
     bytes of the sketch.
     """
     per_band = BINS // BANDS
@@ -117,8 +115,6 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
                 if min_words and len([w for w in t.split(" ") if w]) < min_words:
                     continue
                 s = maker.shingles(t)
-                if not len(s):
-                    continue
                 v = sketch(s, walks)
                 band = np.arange(BANDS, dtype=np.uint64)
                 with np.errstate(over="ignore"):
@@ -219,6 +215,8 @@ class Duplicates:
 
     def __init__(self, rows: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, shingle: int = SHINGLE, min_words: int = 0):
         sketched = sketches(rows, id_col, text_col, shingle, min_words)
+        textless = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNull()).select(F.col(id_col).cast("bigint").alias("id"))
+        self.textless = None if min_words else textless
         self.classes = classes(sketched)
         reps = sketched.join(self.classes.where("id = rep").select("id"), "id", "left_semi")
         self.pairs = complete_pairs(reps, star_edges(reps, similarity), similarity)
@@ -228,13 +226,18 @@ class Duplicates:
 
         ``class_id``: lowest id with the same shingle set; ``group_id``: lowest id
         among the classes linked over any number of steps; ``links``: classes that
-        the record's class is similar to.
+        the record's class is similar to. Without ``min_words`` a record with a
+        null text has a row too, of null class and group.
         """
         ends = self.pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionAll(self.pairs.select(F.col("b"), F.col("a")))
         links = ends.groupBy("rep").agg(F.count("*").alias("links"))
         comp = components(self.pairs.select("a", "b")).withColumnRenamed("id", "rep")
         c = self.classes.join(links, "rep", "left").join(comp, "rep", "left")
-        return c.select("id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        out = c.select("id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        if self.textless is None:
+            return out
+        none = F.lit(None).cast("bigint")
+        return out.unionByName(self.textless.select("id", none.alias("class_id"), none.alias("group_id"), F.lit(0).cast("bigint").alias("links")))
 
     def record_pairs(self) -> DataFrame:
         """(``record_id_a``, ``record_id_b``): the pairs of records, equal sets included.
