@@ -80,10 +80,14 @@ def default_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Evens out rows ahead of a heavy per-row function (a scan of few files gives few tasks)."""
-    n = default_partitions(df.sparkSession)
-    return df.repartition(n, *cols) if cols else df.repartition(n)
+def spread(df: DataFrame) -> DataFrame:
+    """Evens out rows ahead of a heavy per-row function, if the scan gives fewer tasks than there are cores.
+
+    Such a scan holds less than one split for each core, so the shuffle moves
+    little; a larger one is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def key128(key: Column) -> list[Column]:
