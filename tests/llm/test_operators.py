@@ -184,9 +184,39 @@ def test_main_content(spark):
 
 
 def test_blocks():
-    title, blocks = main_content.parse("<title>t</title><p>a <b>b</b>\n c<br>d<td>e<script>x<y</script><!-- z -->f<p><a href=q>l</a>")
+    title, blocks, elements = main_content.parse("<title>t</title><p>a <b>b</b>\n c<br>d<td>e<script>x<y</script><!-- z -->f<p><a href=q>l</a>")
     assert title == "t" and [b.text for b in blocks] == ["a b c", "d", "ef", "l"] or [b.text for b in blocks] == ["a b c", "d", "e", "f", "l"]
-    assert blocks[-1].linked
+    assert blocks[-1].linked and all(e.lo < e.hi for e in elements)
+
+
+def bodies(spark, rows):
+    df = spark.createDataFrame(rows, "src string, rec_id bigint, url string, html string")
+    got = {}
+    for r in main_content.main_blocks(df).orderBy("rec_id", "pos").collect():
+        got.setdefault(r.rec_id, []).append(r.text)
+    return got
+
+
+@pytest.mark.parametrize("titled", [True, False])
+def test_main_content_without_titles_and_with_copies(spark, titled):
+    r = random.Random(3)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(12))
+    own = {i: [f"Heading {line()}", line(), line()] for i in range(30)}
+    copy = ["One story", line(), line()]
+    own |= {i: copy for i in range(30, 50)}
+    own[50] = ["500 words every crawler meets", line(), line()]
+    rows = [("s", i, f"http://h.example/p{i}?a={i}", page(t, rest)) for i, (t, *rest) in own.items()]
+    rows += [("s", 90 + i, f"http://h.example/gone{i}", f"<title>404</title><h1>Not found</h1><p>The page {i} is gone.</p>") for i in range(3)]
+    if not titled:
+        rows = [(*x[:3], re.sub("<title>.*?</title>", "", x[3])) for x in rows]
+    assert bodies(spark, rows) == own
+
+
+def test_nested_classes():
+    places = {(-9, 1): [(0, 10), (9, 11)], (-5, 2): [(2, 20), (4, 21)], (-4, 3): [(3, 30), (6, 31)], (-3, 4): [(7, 40)]}
+    found = {v: crossed for v, _, crossed in main_content.nested(places)}
+    assert found == {1: False, 2: False, 3: True, 4: False}
+    assert main_content.nested({(-1, 1): [(0, 5), (1, 6)]})[0][1] != main_content.nested({(-1, 1): [(0, 6), (1, 5)]})[0][1]
 
 
 # -- encoding
