@@ -149,6 +149,23 @@ def test_seen_keys(spark, rows):
     assert {r.n for r in seen_keys.seen_before(df, "n", [F.col("a"), F.col("b")], block=4, capacity=2).collect()} == expected
 
 
+def test_seen_keys_in_batches(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i * 977, f"k{r.randrange(400)}" if i % 3 else "hot") for i in range(1200)]
+    df = spark.createDataFrame(rows, "n bigint, a string")
+    shape = {"block": 8, "capacity": 4, "error": 0.05}
+    whole = {x.n for x in seen_keys.seen_before(df, "n", [F.col("a")], **shape).collect()}
+    history, parts = seen_keys.History(spark, f"file://{tmp_path}/seen"), set()
+    for lo, hi in ((0, 300_000), (300_000, 700_000), (700_000, 2_000_000)):
+        batch = df.where((F.col("n") >= lo) & (F.col("n") < hi))
+        parts |= {x.n for x in seen_keys.seen_before(batch, "n", [F.col("a")], history=history, **shape).collect()}
+    first = {}
+    for i, k in rows:
+        first.setdefault(k, i)
+    assert whole == parts == {i for i, k in rows if first[k] != i}
+    assert history.keys().count() == history.keys().distinct().count() == len(first)
+
+
 def test_chain_bound():
     chain = seen_keys.Chain(capacity=100, error=0.01)
     r = np.random.default_rng(1)
