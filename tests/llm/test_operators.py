@@ -104,6 +104,23 @@ def test_neighbours_recall(spark, cell):
     assert report.recall >= 0.9
 
 
+def test_neighbours_of_copies(spark):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((60, 64))
+    x[20:50] = x[20]
+    df = spark.createDataFrame([(i * 100, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, emb array<float>")
+    got = {}
+    for q in neighbors.nearest(df, "vec_id", "emb", 5, query_every=100).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id // 100, []).append(q.id // 100)
+    assert sorted(got) == list(range(60)) and all(len(v) == 5 for v in got.values())
+    for i in range(20, 50):
+        assert got[i] == [j for j in range(20, 26) if j != i][:5]
+    s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    np.fill_diagonal(s, -2)
+    exact = {i: np.lexsort((np.arange(60), -s[i].round(7)))[:5].tolist() for i in range(60)}
+    assert sum(len(set(got[i]) & set(exact[i])) for i in exact) / 300 > 0.95
+
+
 def test_neighbours_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, emb array<float>")
     assert neighbors.nearest(df, "vec_id", "emb").count() == 0

@@ -11,8 +11,11 @@ missing neighbour is missing with probability below 1 - p and the search stops.
 Distribution: the top of the kd-tree, fitted on a bounded sample (``SAMPLE``
 rows; every row is indexed), cuts the projected space into cells of about
 ``CELL`` vectors. A cell goes to ``replicas`` tasks, each of which answers its
-share of the queries that can reach the cell. Within a task a kd-tree of leaves
-is searched in blocks of queries that lie together, leaf by leaf in ascending
+share of the queries that can reach the cell, by a hash of the query's id. Equal
+vectors are searched once: a class of copies is known by its lowest id and
+answers with its ``k + 1`` lowest ids, which is all that any top k can hold of
+it, so a vector that a third of all rows carry is one row of one cell. Within a
+task a kd-tree of leaves is searched in blocks of queries that lie together, leaf by leaf in ascending
 box distance, so the work is matrix products.
 """
 
@@ -232,7 +235,10 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 6
     cosines the lower id comes first; ids must be unique.
     """
     spark = rows.sparkSession
-    units = unit_vectors(rows, id_col, vec_col, dim)
+    units, copies = _classes(unit_vectors(rows, id_col, vec_col, dim), k)
+    every = _named(units, copies)
+    queries = every.where(F.col("id") % query_every == 0) if query_every > 1 else every
+    units = every.where("id = class").select("id", "v", "p")
     n = units.count()
     schema = "query_id bigint, id bigint, cosine double"
     quantile = chi2_quantile(p_stop, M)
@@ -256,7 +262,7 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 6
                 if not len(f):
                     continue
                 pts = _matrix(f.p, M)
-                share = (f.id.values % replicas).astype(np.int64)
+                share = f.share.values
                 if home_only:
                     yield f.assign(grp=cells.value.home(pts) * replicas + share, q=True)[["grp", "q", "far", "id", "v", "p"]]
                     continue
@@ -289,11 +295,12 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 6
 
     layout = "grp bigint, q boolean, far double, id bigint, v binary, p binary"
     index = units.mapInPandas(index_rows, layout)
-    asked = units.where(F.col("id") % query_every == 0) if query_every > 1 else units
+    asked = units.join(queries.select(F.col("class").alias("id")).distinct(), "id", "left_semi") if query_every > 1 else units
+    asked = asked.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(replicas)))
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
 
-    def run(queries, home_only):
-        both = index.unionAll(queries.mapInPandas(query_rows(home_only), layout))
+    def run(some, home_only):
+        both = index.unionAll(some.mapInPandas(query_rows(home_only), layout))
         return both.repartition(max(parallel, 4 * n_groups), "grp").sortWithinPartitions("grp", "q").mapInPandas(answer, schema)
 
     if min_cosine is not None:
@@ -305,7 +312,35 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 6
         bounded = asked.join(bound, "id", "left").withColumn("far", F.coalesce("far", F.lit(4.0)))
         # What the home cell gave stays, whatever its projected distance.
         got = run(bounded, False).unionAll(home.drop("rank")).distinct()
-    return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return _answers(queries, near, copies, k)
+
+
+def _classes(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their digests, and (``d1``, ``d2``, ``ids``): the ``k + 1`` lowest ids of each vector that occurs more than once, written as a table."""
+    marked = units.withColumns({"d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(3), "v")})
+    # The rank's limit is applied ahead of the shuffle as well, so a hot vector sends k + 1 ids a task.
+    low = marked.select("id", "d1", "d2").withColumn("n", F.row_number().over(Window.partitionBy("d1", "d2").orderBy("id"))).where(F.col("n") <= k + 1)
+    copies = low.groupBy("d1", "d2").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    return marked, stage(copies, "copies")
+
+
+def _named(marked: DataFrame, copies: DataFrame) -> DataFrame:
+    """Vectors with their ``class``, the lowest id of an equal one, and its lowest ``ids``."""
+    return marked.join(copies, ["d1", "d2"], "left").select("id", "v", "p", F.coalesce(F.col("ids")[0], "id").alias("class"), F.coalesce("ids", F.array("id")).alias("ids"))
+
+
+def _answers(queries: DataFrame, near: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """(``query_id``, ``id``, ``cosine``, ``rank``) of all rows asked for, from the nearest classes of their classes."""
+    by_class = copies.select(F.col("ids")[0].alias("id"), "ids")
+    spread_out = near.join(by_class, "id", "left").select("query_id", "cosine", F.explode(F.coalesce("ids", F.array("id"))).alias("id"))
+    pair = F.struct((-F.col("cosine")).alias("far"), "id")
+    others = spread_out.groupBy(F.col("query_id").alias("class")).agg(F.collect_list(pair).alias("others"))
+    own = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("id")))
+    kind = "array<struct<far:double,id:bigint>>"
+    both = queries.select("id", "class", "ids").join(others, "class", "left").select(F.col("id").alias("query_id"), F.concat(own.cast(kind), F.coalesce(F.col("others").cast(kind), F.array().cast(kind))).alias("c"))
+    first = F.slice(F.array_sort(F.filter("c", lambda x: x["id"] != F.col("query_id"))), 1, k)
+    return both.select("query_id", F.posexplode(first).alias("rank", "x")).select("query_id", F.col("x.id").alias("id"), (-F.col("x.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
 def similar_pairs(rows: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, min_cosine: float = 0.85) -> DataFrame:
