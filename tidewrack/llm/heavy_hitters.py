@@ -15,6 +15,8 @@ number that doesn't depend on the data.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,8 @@ WIDTH = 2048
 DEPTH = 5
 BITS = 64
 CHUNK = 1 << 16
+#: Tasks beyond which sketches are added in two levels.
+LEVEL = 1000
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -76,13 +80,23 @@ def _sketch(width: int, depth: int):
     return run
 
 
+def _sums(batches) -> dict[int, np.ndarray]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts = np.frombuffer(raw, np.int64)
+            sums[cell] = sums[cell] + counts if cell in sums else counts.copy()
+    return sums
+
+
+def _add(batches):
+    sums = _sums(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "counts"])
+
+
 def _merge(width: int):
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for cell, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(raw, np.int64)
-                sums[cell] = sums[cell] + counts if cell in sums else counts.copy()
+        sums = _sums(batches)
         if not sums:
             return
         cells = np.fromiter(sums, np.int64, len(sums))
@@ -96,21 +110,30 @@ def _merge(width: int):
     return run
 
 
-def heavy_hitters(rows: DataFrame, item: Column, count: Column, share: float, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+def heavy_hitters(rows: DataFrame, item: Column, count: Column, share: float, width: int | None = None, depth: int = DEPTH) -> DataFrame:
     """(``item``, ``total``, ``estimate``) of items with at least ``share`` of all counts.
 
-    Null items take no part, nor do null counts. ``width`` should be four times
-    ``1 / share`` or more: then the rest of an item's bucket weighs a quarter of
+    Null items take no part, nor do null counts. ``width`` is four times
+    ``1 / share`` at least (``WIDTH`` or that if not given, a lower one is an error): then the rest of an item's bucket weighs a quarter of
     the threshold on average and an item is missed only if it is outweighed in
     all rows. An empty table, or counts that add up to zero or less, give an
     empty result.
     """
     if depth > len(_SALTS):
         raise ValueError(f"depth is at most {len(_SALTS)}")
+    if not 0 < share <= 1:
+        raise ValueError("share must lie in (0, 1]")
+    least = 1 << math.ceil(math.log2(4 / share))
+    width = max(WIDTH, least) if width is None else width
+    if width < 4 / share:
+        raise ValueError(f"a share of {share} needs a width of {least}")
     spark = rows.sparkSession
     updates = rows.select(item.alias("item"), count.cast("bigint").alias("c")).where("item is not null and c is not null")
     hashed = updates.select(F.xxhash64("item").alias("h"), "c")
     parts = hashed.mapInArrow(_sketch(width, depth), "cell bigint, counts binary")
+    # Partial sums first, so that a bucket meets as many rows as there are groups of tasks, whatever their number.
+    tasks = default_partitions(spark)
+    parts = parts.repartition(tasks, "cell", F.spark_partition_id() % tasks).mapInArrow(_add, "cell bigint, counts binary") if parts._jdf.queryExecution().toRdd().getNumPartitions() > LEVEL else parts
     merged = parts.repartition(default_partitions(spark), "cell").mapInArrow(_merge(width), "cell bigint, total bigint, h bigint, home boolean").collect()
     totals = np.zeros((depth, width), np.int64)
     for r in merged:

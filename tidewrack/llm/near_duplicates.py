@@ -7,7 +7,7 @@
    Equal sets are one class from here on.
 2. ``star_edges``: bands of the sketch are bucket keys; in each bucket every
    member is linked to the member with the least mixed hash only, so n members
-   give n - 1 candidate links. Links whose sketches agree far too seldom go.
+   give n - 1 candidate links.
 3. connected components of the links: whoever shared a bucket is in one.
 4. within a component, the pairs are completed exactly: a pair at the threshold
    must share a shingle among the rarest (1 - t) * n + 1 of either side (prefix
@@ -100,10 +100,9 @@ def sketch(shingles: np.ndarray, walks: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, min_words: int = 0) -> DataFrame:
-    """(``id``, ``digest1``, ``digest2``, ``n``, ``shingles``, ``bands``, ``bits``), written as a table.
+    """(``id``, ``digest1``, ``digest2``, ``n``, ``shingles``, ``bands``), written as a table.
 
-    Rows with a null id or text or fewer than ``min_words`` words are left out. ``digest`` tells equal shingle sets; ``bits`` are the low
-    bytes of the sketch.
+    Rows with a null id or text or fewer than ``min_words`` words are left out. ``digest`` tells equal shingle sets.
     """
     per_band = BINS // BANDS
 
@@ -121,11 +120,11 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
                     for j in range(per_band):
                         band = _mix(band * _M3 + v[j::per_band].astype(np.uint64))
                 d = s.tobytes()
-                out.append((i, xxhash.xxh64_intdigest(d) - (1 << 63), xxhash.xxh64_intdigest(d, 5) - (1 << 63), len(s), d, band.tobytes(), (v & np.uint32(255)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "digest1", "digest2", "n", "shingles", "bands", "bits"])
+                out.append((i, xxhash.xxh64_intdigest(d) - (1 << 63), xxhash.xxh64_intdigest(d, 5) - (1 << 63), len(s), d, band.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "digest1", "digest2", "n", "shingles", "bands"])
 
     picked = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return stage(spread(picked).mapInPandas(run, "id bigint, digest1 bigint, digest2 bigint, n int, shingles binary, bands binary, bits binary"), "sketches")
+    return stage(spread(picked).mapInPandas(run, "id bigint, digest1 bigint, digest2 bigint, n int, shingles binary, bands binary"), "sketches")
 
 
 def classes(sketched: DataFrame) -> DataFrame:
@@ -134,7 +133,7 @@ def classes(sketched: DataFrame) -> DataFrame:
     return stage(sketched.select("id", "digest1", "digest2").join(reps, ["digest1", "digest2"]).select("id", "rep"), "classes")
 
 
-def star_edges(reps: DataFrame, similarity: float) -> DataFrame:
+def star_edges(reps: DataFrame) -> DataFrame:
     """(``a``, ``b``): candidate links between representatives."""
 
     def explode(frames):
@@ -150,19 +149,7 @@ def star_edges(reps: DataFrame, similarity: float) -> DataFrame:
     crowded = members.join(centres, "key")
     heads = crowded.where(F.xxhash64("key", "id") == F.col("h")).groupBy("key").agg(F.min("id").alias("c"))
     edges = members.join(heads, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    bits = reps.select("id", "bits")
-    both = edges.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-    floor = similarity / 2
-
-    def agree(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(f), BINS) for c in (f.x, f.y))
-            share = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yield f.loc[share >= floor, ["a", "b"]]
-
-    return stage(both.mapInPandas(agree, "a bigint, b bigint"), "edges")
+    return stage(edges, "edges")
 
 
 def complete_pairs(reps: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
@@ -219,7 +206,7 @@ class Duplicates:
         self.textless = None if min_words else textless
         self.classes = classes(sketched)
         reps = sketched.join(self.classes.where("id = rep").select("id"), "id", "left_semi")
-        self.pairs = complete_pairs(reps, star_edges(reps, similarity), similarity)
+        self.pairs = complete_pairs(reps, star_edges(reps), similarity)
 
     def groups(self) -> DataFrame:
         """(``id``, ``class_id``, ``group_id``, ``links``) of each record that took part.

@@ -24,6 +24,8 @@ _EDGE = regex.compile(r"^\P{L}+|\P{L}+$")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _BULLET = re.compile(r"(?:[-*•–·]|\d{1,3}[.)])\s")
 
+#: The first five are the basic statistics, the others tell lists and repetition.
+BASIC = 5
 FIELDS = [
     ("n_words", "bigint", pa.int64()),
     ("mean_word_length", "double", pa.float64()),
@@ -47,8 +49,8 @@ def bare(word: str) -> str:
     return word if word.isalpha() else _EDGE.sub("", word)
 
 
-def statistics(text: str, common: frozenset[str]) -> tuple:
-    """The values of ``FIELDS`` for one text; shares of nothing are 0."""
+def statistics(text: str, common: frozenset[str], repetition: bool = True) -> tuple:
+    """The values of ``FIELDS`` for one text, the basic ones only without ``repetition``; shares of nothing are 0."""
     words = _SPLIT.findall(text)
     n = len(words)
     letters = sum(map(len, words))
@@ -64,6 +66,16 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
             hits += hit
     else:
         hits = 0
+    m = len(lines)
+    basic = (
+        n,
+        letters / n if n else 0.0,
+        len(_SYMBOL.findall(text)) / solid if solid else 0.0,
+        sum(x[-1] in ENDINGS for x in lines) / m if m else 0.0,
+        hits / n if n else 0.0,
+    )
+    if not repetition:
+        return basic
     grams = []
     for k in (2, 3, 4):
         if n <= k:
@@ -72,13 +84,8 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
         (top, times), = Counter(zip(*(words[i:] for i in range(k)))).most_common(1)
         grams.append(min(1.0, times * sum(map(len, top)) / letters) if times > 1 else 0.0)
     paragraphs = [p for x in _PARAGRAPH.split(text) if (p := x.strip())]
-    m = len(lines)
     return (
-        n,
-        letters / n if n else 0.0,
-        len(_SYMBOL.findall(text)) / solid if solid else 0.0,
-        sum(x[-1] in ENDINGS for x in lines) / m if m else 0.0,
-        hits / n if n else 0.0,
+        *basic,
         m,
         sum(_BULLET.match(x) is not None for x in lines) / m if m else 0.0,
         sum(len(x) < 40 for x in lines) / m if m else 0.0,
@@ -96,18 +103,19 @@ def common_set(words: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in rows)
 
 
-def quality_stats(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, the values of ``FIELDS``) of each row with a non-null text; null texts are left out."""
+def quality_stats(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text", repetition: bool = True) -> DataFrame:
+    """(id, the values of ``FIELDS``, or of the basic ones) of each row with a non-null text; null texts are left out."""
+    fields = FIELDS if repetition else FIELDS[:BASIC]
     vocabulary = docs.sparkSession.sparkContext.broadcast(common_set(common))
 
     def run(batches):
         for b in batches:
-            rows = [statistics(t, vocabulary.value) for t in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [[]] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, (_, _, kind) in zip(cols, FIELDS))], names=[id_col, *(f[0] for f in FIELDS)])
+            rows = [statistics(t, vocabulary.value, repetition) for t in b.column(1).to_pylist()]
+            cols = list(zip(*rows)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, (_, _, kind) in zip(cols, fields))], names=[id_col, *(f[0] for f in fields)])
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"{id_col} {kind}, " + ", ".join(f"{name} {sql}" for name, sql, _ in FIELDS)
+    schema = f"{id_col} {kind}, " + ", ".join(f"{name} {sql}" for name, sql, _ in fields)
     return spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)).mapInArrow(run, schema)
 
 

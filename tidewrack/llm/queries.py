@@ -106,16 +106,16 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-def _quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality_stats(table(spark, d, "documents"), table(spark, d, "common_words"))
+def _quality(spark: SparkSession, d: str, repetition: bool) -> DataFrame:
+    return quality.quality_stats(table(spark, d, "documents"), table(spark, d, "common_words"), repetition=repetition)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _quality(spark, d).where(quality.faults() >= 2).select("doc_id")
+    return _quality(spark, d, False).where(quality.faults() >= 2).select("doc_id")
 
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = _quality(spark, d)
+    out = _quality(spark, d, True)
     return out.withColumn("faults", quality.faults()).withColumn("kind", quality.text_kind())
 
 
