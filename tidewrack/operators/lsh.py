@@ -70,6 +70,20 @@ def index_size(idx: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return idx.where("band = 0").agg(F.count("*").alias("added"), F.countDistinct(id_col).alias("distinct_docs"))
 
 
+def removed(idx: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The index without the documents in ``ids``; without all of them it is clear."""
+    return idx.join(ids.select(id_col).distinct(), id_col, "left_anti")
+
+
+def sampled(rows: DataFrame, size: int, seed: int = 47, id_col: str = "doc_id") -> DataFrame:
+    """``size`` rows (all, if there are fewer) drawn without replacement: those whose id has the least seeded hash.
+
+    The draw depends on seed and ids alone, not on how rows are laid out; null ids are left out.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return rows.where(F.col(id_col).isNotNull()).orderBy(key, id_col).limit(size)
+
+
 def candidates(queries: DataFrame, idx: DataFrame, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     """(query id, id): documents that share a band with the query; ``queries`` is an index over queries."""
     return queries.join(idx, ["band", "band_key"]).select(query_id, id_col).distinct()

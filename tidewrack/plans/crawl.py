@@ -13,8 +13,6 @@ from tidewrack.runtime import spread, table
 from tidewrack.sources.corpus import SAVED_PAGES, saved_pages
 from tidewrack.streaming import crawl, state
 
-MAX_DEPTH = 4
-
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "save_html_handler").where("html is not null and url is not null").select("page_id", "url", "html"))
@@ -51,14 +49,7 @@ def save_manifest(spark, d):
 
 
 def crawl_bfs(spark, d):
-    f = table(spark, d, "fetch_info").where("url is not null")
-    edges = f.select(url_key(F.col("url")).alias("src"), F.explode("out_links").alias("link")).select("src", url_key(F.col("link")).alias("dst"))
-    seeds = f.where("fetch_id < 20").select(url_key(F.col("url")).alias("url"))
-    return crawl.reach(edges, seeds, MAX_DEPTH)
-
-
-def crawl_bfs_all(spark, d):
-    """As ``crawl_bfs``, from all URLs without a parent, until nothing new is reached."""
+    """All URLs without a parent are seeds; ends when nothing new is reached."""
     f = table(spark, d, "fetch_info").where("url is not null")
     edges = f.select(url_key(F.col("url")).alias("src"), F.explode("out_links").alias("link")).select("src", url_key(F.col("link")).alias("dst"))
     seeds = f.where("coalesce(parent_url, '') = ''").select(url_key(F.col("url")).alias("url"))
@@ -69,7 +60,7 @@ def crawl_saved_pages(spark, d):
     """A crawl whose network is the table of saved pages."""
     pages = table(spark, d, "save_html_handler").where("url is not null and html is not null").select("url", "html")
     seeds = pages.select("url").distinct().select("url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit(0.0).alias("discover_timestamp"))
-    out = crawl.crawl(seeds, crawl.table_fetcher(pages), max_depth=1)
+    out = crawl.crawl(seeds, crawl.table_fetcher(pages))
     return out.select("requested_url", "url", "depth", "http_status", "out_links_count")
 
 
@@ -91,7 +82,7 @@ def _tag() -> str:
 
 
 def queries() -> dict:
-    named = [page_links, normalized_urls, url_domains, html_fetches, fetch_metadata, save_manifest, crawl_bfs, crawl_bfs_all, crawl_saved_pages, stream_dedupe_events, stream_term_frequencies]
+    named = [page_links, normalized_urls, url_domains, html_fetches, fetch_metadata, save_manifest, crawl_bfs, crawl_saved_pages, stream_dedupe_events, stream_term_frequencies]
     return {f.__name__: f for f in named}
 
 
@@ -115,10 +106,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT url, length(html) AS content_length, coalesce(n, 0) AS out_links_count, coalesce(links, '') AS out_links FROM save_html_handler s LEFT JOIN l USING (page_id) WHERE html IS NOT NULL AND url IS NOT NULL""",
         "save_manifest": f"SELECT page_id, md5(url) AS file_id, url FROM save_html_handler WHERE html IS NOT NULL AND url IS NOT NULL ORDER BY page_id LIMIT {SAVED_PAGES}",
         "crawl_bfs": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT {_key('url')} AS src, {_key('link')} AS dst FROM (SELECT url, unnest(out_links) AS link FROM fetch_info WHERE url IS NOT NULL) WHERE link IS NOT NULL),
-            r AS (SELECT DISTINCT {_key('url')} AS url, 0 AS depth FROM fetch_info WHERE fetch_id < 20 AND url IS NOT NULL
-              UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < {MAX_DEPTH})
-            SELECT url, min(depth)::INT AS depth FROM r GROUP BY url""",
-        "crawl_bfs_all": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT {_key('url')} AS src, {_key('link')} AS dst FROM (SELECT url, unnest(out_links) AS link FROM fetch_info WHERE url IS NOT NULL) WHERE link IS NOT NULL),
             r(url, depth) USING KEY (url) AS (SELECT DISTINCT {_key('url')} AS url, 0 AS depth FROM fetch_info WHERE coalesce(parent_url, '') = '' AND url IS NOT NULL
               UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON r.url = e.src WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS known WHERE known.url = e.dst) GROUP BY e.dst)
             SELECT url, depth::INT AS depth FROM r""",

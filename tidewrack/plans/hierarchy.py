@@ -45,5 +45,14 @@ _FOUND = f"""
     UNION ALL SELECT id, root_id, -1 FROM stuck_root"""
 
 
+# Paths start at roots and at the lowest id of each loop, whose edge is cut.
+_PATHS = f"""
+    WITH RECURSIVE heads AS (SELECT DISTINCT root_id FROM ({_FOUND}) WHERE depth = -1), {_LINKS},
+    cut AS (SELECT id, CASE WHEN id NOT IN (SELECT root_id FROM heads) THEN parent END AS parent FROM links),
+    p AS (SELECT id, id AS root_id, id::VARCHAR AS path FROM cut WHERE parent IS NULL
+      UNION ALL SELECT c.id, p.root_id, p.path || '/' || c.id FROM cut c JOIN p ON c.parent = p.id)
+    SELECT id AS fetch_id, root_id, path FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _FOUND}
+    return {"p1_found": _FOUND, "p1_paths": _PATHS}

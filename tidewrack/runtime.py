@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_staged: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -54,10 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes all tables staged by this driver; results that still read them must have been taken or saved."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_counted(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
     """Like :func:`stage`, and what the written rows add up to, without another pass."""
     seen = Observation()

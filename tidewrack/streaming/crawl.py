@@ -42,7 +42,9 @@ def decode_items(queue: DataFrame, value: str = "value", now: float = 0.0) -> Da
     """Frontier items of JSON strings; missing fields get defaults, and a string that is no JSON object is a bare URL."""
     item = F.from_json(F.col(value), ITEM, {"mode": "PERMISSIVE"})
     parsed = queue.select(F.col(value).alias("_raw"), item.alias("i"))
-    url = F.coalesce("i.url", F.when(F.get_json_object("_raw", "$").isNull(), F.col("_raw")))
+    # Text that is JSON but no object (a number, a quoted string, a list) is taken as it stands too.
+    is_object = F.startswith(F.ltrim("_raw"), F.lit("{")) & F.get_json_object("_raw", "$").isNotNull()
+    url = F.coalesce("i.url", F.when(~is_object, F.col("_raw")))
     return parsed.select(url.alias("url"), F.col("i.parent_url").alias("parent_url"), F.coalesce("i.depth", F.lit(0)).alias("depth"), F.coalesce("i.discover_timestamp", F.lit(now)).alias("discover_timestamp")).where("url is not null")
 
 
@@ -50,6 +52,12 @@ def encode_items(items: DataFrame) -> DataFrame:
     return items.select(F.to_json(F.struct("url", "parent_url", "depth", "discover_timestamp")).alias("value"))
 
 
+def seeded(queue: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The queue's items, or the seeds if it has none."""
+    first = queue.limit(1).select(F.lit(1).alias("_any"))
+    return queue.unionByName(seeds.join(first, how="left_anti"))
+
+
 def table_fetcher(pages: DataFrame) -> Fetcher:
     """A fetcher over a table (``url``, ``html``): what isn't there failed with status -1."""
     known = pages.where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
@@ -90,9 +98,10 @@ def fetch_info(fetched: DataFrame, links: str = "links", now: float = 0.0, most:
     )
 
 
-def crawl(seeds: DataFrame, fetch: Fetcher, allowed_domain: str | None = None, max_depth: int = 10, strict_final_dedupe: bool = False, now: float = 0.0, handler: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Fetcher, allowed_domain: str | None = None, max_depth: int | None = None, strict_final_dedupe: bool = False, now: float = 0.0, handler: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Breadth-first crawl; returns the fetch metadata of all pages with html.
 
+    It ends when a level finds nothing new, or after ``max_depth`` levels if given.
     A URL is fetched once, at its least depth (then by its least parent). The
     final URL is tested as well where it differs from the requested one; with
     ``strict_final_dedupe`` it is tested in any case, which drops every page that
@@ -100,8 +109,9 @@ def crawl(seeds: DataFrame, fetch: Fetcher, allowed_domain: str | None = None, m
     level's pages; an error in it doesn't end the crawl.
     """
     level = stage(seeds.select("url", "parent_url", "depth", "discover_timestamp"), "frontier")
-    seen, done = None, None
-    for _ in range(max_depth + 1):
+    seen, done, depth = None, None, 0
+    while max_depth is None or depth <= max_depth:
+        depth += 1
         fresh = level.where("url is not null").groupBy("url").agg(F.min(F.struct("depth", F.coalesce("parent_url", F.lit("")).alias("p"), "parent_url", "discover_timestamp")).alias("m")).select("url", "m.parent_url", "m.depth", "m.discover_timestamp")
         if seen is not None:
             fresh = fresh.join(seen, "url", "left_anti")
