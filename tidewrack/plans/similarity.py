@@ -21,6 +21,7 @@ EVERY = 100
 JACCARD_K = 20
 COSINE_K = 50
 DIM = 64
+SAMPLED = 200
 # The band shapes that are compared.
 SWEEP = [LshConfig(64, 8), LshConfig(32, 16), LshConfig(16, 32), LshConfig(8, 64)]
 
@@ -159,13 +160,18 @@ def lsh_contrast_report(spark, d):
     return out
 
 
+def sampled_queries(spark, d):
+    """The experiments' draw of queries without replacement."""
+    return lsh.sampled(table(spark, d, "documents").where("text is not null").select("doc_id"), SAMPLED)
+
+
 def mean_pooled(spark, d):
     pooled = mean_pool(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
     return pooled.select("label", F.posexplode("pooled").alias("dim", "mean")).select("label", "dim", F.round("mean", 6).alias("mean"))
 
 
 def queries() -> dict:
-    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, ngram_search_all, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_search_all, embedding_band_sweep, lsh_contrast_report, mean_pooled]
+    named = [minhash_signatures, lsh_index_buckets, lsh_index_size, lsh_ngram_candidates, jaccard_topk_exact, lsh_ngram_recall, ngram_search_rerank, ngram_search_all, hyperplane_signatures, lsh_embedding_candidates, cosine_topk_exact, embedding_search_rerank, embedding_search_all, embedding_band_sweep, lsh_contrast_report, sampled_queries, mean_pooled]
     return {f.__name__: f for f in named}
 
 
@@ -263,5 +269,6 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT id, (SELECT count(*) FROM t WHERE t.q = e.id) AS wanted FROM e WHERE id % {EVERY} = 0),
             r AS ({sweeps})
             SELECT bands::INT AS bands, rows::INT AS rows, count(*) AS queries, round(avg(cand), 6) AS candidate_size, round(avg(hits / greatest(wanted, 1)::DOUBLE), 6) AS recall FROM r JOIN q ON r.q = q.id GROUP BY ALL""",
+        "sampled_queries": f"SELECT doc_id FROM documents WHERE text IS NOT NULL ORDER BY md5('47:' || doc_id::VARCHAR), doc_id LIMIT {SAMPLED}",
         "mean_pooled": "SELECT label, (i - 1)::INT AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(i) WHERE embedding IS NOT NULL GROUP BY ALL",
     }

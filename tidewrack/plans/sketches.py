@@ -52,6 +52,13 @@ def cms_stream_terms(spark, d):
     return sketch.estimate(tf.top_k(terms, 100))
 
 
+def cms_stream_estimates(spark, d):
+    """As ``cms_stream_terms`` with the other hash family."""
+    updates = table(spark, d, "count_min_sketch").where("term is not null")
+    terms = stage(updates.groupBy("term").agg(F.sum(F.coalesce("cnt", F.lit(1).cast("bigint"))).alias("tf")), "stream")
+    return count_min.CountMin.build(terms).estimate(tf.top_k(terms, 100))
+
+
 def _sweep(spark, d, configs):
     counts = _tf(spark, d)
     return count_min.error_summary(count_min.estimates_by_config(counts, tf.top_k(counts, K), configs))
@@ -108,7 +115,7 @@ def url_dedupe_bloom(spark, d):
 
 
 def queries() -> dict:
-    named = [cms_cells, cms_top_k_errors, cms_lookup, cms_total_updates, cms_stream_terms, cms_width_sweep, cms_depth_sweep, cms_error_hist, bloom_bits, bloom_membership, bloom_fpr_sweep, bloom_capacity_sweep, bloom_expansion_sweep, url_dedupe_anti_join, url_dedupe_bloom]
+    named = [cms_cells, cms_top_k_errors, cms_lookup, cms_total_updates, cms_stream_terms, cms_stream_estimates, cms_width_sweep, cms_depth_sweep, cms_error_hist, bloom_bits, bloom_membership, bloom_fpr_sweep, bloom_capacity_sweep, bloom_expansion_sweep, url_dedupe_anti_join, url_dedupe_bloom]
     return {f.__name__: f for f in named}
 
 
@@ -186,6 +193,16 @@ def oracle_sql() -> dict[str, str]:
         "cms_lookup": f"""WITH {_cells()}, v AS (SELECT term, i AS row, ('0x' || substr(md5(i::VARCHAR || term), 1, 15))::BIGINT % 20000 AS cell FROM (VALUES {values}) x(term), range(7) r(i))
             SELECT v.term, min(coalesce(c.cnt, 0)) AS estimate FROM v LEFT JOIN cells c ON v.row = c.row AND v.cell = c.cell GROUP BY v.term""",
         "cms_total_updates": f"SELECT sum(tf)::BIGINT AS total_updates FROM ({TF})",
+        "cms_stream_estimates": """
+            WITH tf AS MATERIALIZED (SELECT term, sum(coalesce(cnt, 1))::BIGINT AS tf FROM count_min_sketch WHERE term IS NOT NULL GROUP BY term),
+            h AS MATERIALIZED (SELECT term, tf, i AS row, ('0x' || substr(md5(i::VARCHAR || term), 1, 15))::BIGINT % 20000 AS cell FROM tf, range(7) r(i)),
+            cells AS (SELECT row, cell, sum(tf)::BIGINT AS cnt FROM h GROUP BY 1, 2),
+            top AS (SELECT term FROM tf ORDER BY tf DESC, term LIMIT 100)
+            SELECT h.term, h.tf, min(c.cnt) AS estimate FROM h JOIN top USING (term) JOIN cells c ON h.row = c.row AND h.cell = c.cell GROUP BY h.term, h.tf""",
+        "url_dedupe_bloom": f"""
+            WITH {_bloom("SELECT url AS key, page_id AS born FROM save_html_handler WHERE url IS NOT NULL", [(100_000, 0.001, 2)], 10**7)},
+            {_claimed("SELECT url AS key FROM fetch_info")}
+            SELECT DISTINCT url FROM fetch_info WHERE url IS NOT NULL AND url NOT IN (SELECT key FROM claimed)""",
         "cms_width_sweep": _summary(WIDTHS),
         "cms_depth_sweep": _summary(DEPTHS),
         "cms_error_hist": f"""WITH {_estimates([(5_000, 7)])}, p AS (SELECT error FROM e WHERE error > 0),
