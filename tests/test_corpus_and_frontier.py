@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tidewrack.operators import count_min, lsh
+from tidewrack.operators import bloom, count_min, lsh
 from tidewrack.runtime import drop_stages, stage
 from tidewrack.sources import corpus
 from tidewrack.streaming import crawl, state
@@ -109,3 +109,14 @@ def test_stages_are_dropped(spark):
     path = df.inputFiles()[0].removeprefix("file://")
     drop_stages(spark)
     assert not os.path.exists(path)
+
+
+def test_bloom_by_join_as_in_memory(spark, monkeypatch):
+    keys = spark.range(3000).selectExpr("id AS n", "concat('k', id % 2500) AS u")
+    filter_ = bloom.Bloom.build(keys, "u", "n", [(300, 0.05, 2), (5000, 0.2, 1)])
+    probes = spark.range(2000, 6000).selectExpr("concat('k', id) AS u").unionAll(spark.sql("SELECT CAST(NULL AS string)"))
+    local = sorted(map(tuple, filter_.contains(probes, "u").collect()))
+    monkeypatch.setattr(bloom, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, filter_.contains(probes, "u").collect())) == local
+    assert {c for c, _ in local} == {0, 1} and {k for c, k in local if c == 0} >= {f"k{i}" for i in range(2000, 2500)} and len(local) < 4000
+    assert bloom.Bloom.build(keys.limit(0), "u", "n", [(10, 0.1, 2)]).contains(probes, "u").count() == 0
