@@ -1,10 +1,9 @@
 """MinHash signatures of item sets.
 
-The distinct items are far fewer than the (document, item) pairs, so each item is
-hashed once a salt and hashes are replaced by their ranks under that salt; a
-document's minimum rank is the rank of its minimum hash. Only if the vocabulary
-exceeds ``MAX_VOCABULARY`` items - the rank table would outgrow a broadcast -
-hashes are computed pair by pair in the JVM instead.
+Items recur far more often than they are new, so each task hashes an item once
+for all salts and keeps the leading 64 bits of its hashes in a table of bounded
+size; a document's least hash under a salt is an argmin over its items' rows, and
+only the winners' full hashes are written out. No vocabulary is gathered.
 """
 
 from __future__ import annotations
@@ -22,8 +21,9 @@ from tidewrack.runtime import spread
 # Seed and length of a signature.
 SEED = 47
 NUM_HASHES = 128
-MAX_VOCABULARY = 100_000
 EMPTY = "0" * 40
+#: Items whose hashes a task keeps (a kilobyte each); the plan is the same beyond.
+MAX_VOCABULARY = 1 << 16
 
 
 def salts(num_hashes: int = NUM_HASHES, seed: int = SEED) -> list[int]:
@@ -36,51 +36,58 @@ def salt_hex(salt: int) -> str:
     return salt.to_bytes(4, "little").hex()
 
 
+class _Hashes:
+    """Leading 64 bits of the salted hashes of items."""
+
+    def __init__(self, tails: list[bytes], room: int):
+        self.tails, self.room = tails, room
+        self.place: dict[str, int] = {}
+        self.heads = np.empty((min(room, 1024), len(tails)), np.uint64)
+
+    def of(self, items: list[str]) -> np.ndarray:
+        """A row for each of the items, of which there are ``room`` at most."""
+        new = [x for x in dict.fromkeys(items) if x not in self.place]
+        if len(self.place) + len(new) > self.room:
+            self.place.clear()
+            new = list(dict.fromkeys(items))
+        while len(self.heads) < len(self.place) + len(new):
+            self.heads = np.concatenate([self.heads, np.empty_like(self.heads)])
+        for x in new:
+            raw, at = x.encode(), len(self.place)
+            self.heads[at] = np.frombuffer(b"".join([hashlib.sha1(raw + t).digest()[:8] for t in self.tails]), ">u8")
+            self.place[x] = at
+        return self.heads[[self.place[x] for x in items]]
+
+
 def signatures(sets: DataFrame, id_col: str, items_col: str, num_hashes: int = NUM_HASHES, seed: int = SEED, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
     """(id, ``signature``): 40 hex digits of the least SHA-1 for each salt; an empty set has zeros only.
 
-    Null sets are left out.
+    Null sets are left out. ``max_vocabulary`` bounds the items whose hashes a task keeps.
     """
     known = sets.where(F.col(items_col).isNotNull())
-    vocabulary = known.select(F.explode(items_col).alias("item")).distinct().limit(max_vocabulary + 1)
-    items = [r["item"] for r in vocabulary.collect()]
-    if len(items) > max_vocabulary:
-        return _by_pairs(known, id_col, items_col, num_hashes, seed)
-    items.sort()
-    raw = [x.encode() for x in items]
-    rank = np.empty((num_hashes, len(items)), np.int32)
-    value = np.empty((num_hashes, len(items)), "S40")
-    for i, salt in enumerate(salts(num_hashes, seed)):
-        tail = salt.to_bytes(4, "little")
-        digest = np.array([hashlib.sha1(x + tail).hexdigest().encode() for x in raw], "S40")
-        order = np.argsort(digest)
-        value[i] = digest[order]
-        rank[i, order] = np.arange(len(items), dtype=np.int32)
-    held = sets.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(items)}, np.ascontiguousarray(rank.T), value))
+    tails = [salt.to_bytes(4, "little") for salt in salts(num_hashes, seed)]
     kind = dict(sets.dtypes)[id_col]
 
     def run(frames):
-        place, ranks, values = held.value
-        rows = np.arange(num_hashes)
+        hashes = _Hashes(tails, max_vocabulary)
         for f in frames:
             out = []
             for own in f.s:
-                at = [place[x] for x in own]
-                if at:
-                    least = ranks[at].min(axis=0)
-                    out.append([x.decode() for x in values[rows, least]])
-                else:
+                own = own.tolist()
+                if not own:
                     out.append([EMPTY] * num_hashes)
+                    continue
+                least, winner = None, None
+                for at in range(0, len(own), max_vocabulary):
+                    rows = hashes.of(own[at : at + max_vocabulary])
+                    best = rows.argmin(axis=0)
+                    value = rows[best, np.arange(num_hashes)]
+                    if least is None:
+                        least, winner = value, best
+                    else:
+                        winner = np.where(value < least, best + at, winner)
+                        least = np.minimum(value, least)
+                out.append([hashlib.sha1(own[w].encode() + t).hexdigest() for w, t in zip(winner.tolist(), tails)])
             yield pd.DataFrame({id_col: f[id_col], "signature": out})
 
     return spread(known.select(id_col, F.col(items_col).alias("s"))).mapInPandas(run, f"{id_col} {kind}, signature array<string>")
-
-
-def _by_pairs(known: DataFrame, id_col: str, items_col: str, num_hashes: int, seed: int) -> DataFrame:
-    table = F.array(*[F.lit(salt_hex(s)) for s in salts(num_hashes, seed)])
-    pairs = known.select(id_col, F.explode(F.array_distinct(items_col)).alias("item"))
-    hashed = pairs.select(id_col, "item", F.posexplode(table).alias("k", "salt")).select(id_col, "k", F.sha1(F.concat(F.col("item").cast("binary"), F.unhex("salt"))).alias("h"))
-    least = hashed.groupBy(id_col, "k").agg(F.min("h").alias("h")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("c"))
-    found = least.select(id_col, F.col("c.h").alias("signature"))
-    empty = known.where(F.size(items_col) == 0).select(id_col, F.array_repeat(F.lit(EMPTY), num_hashes).alias("signature"))
-    return found.unionAll(empty)
