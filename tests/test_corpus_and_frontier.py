@@ -120,3 +120,12 @@ def test_bloom_by_join_as_in_memory(spark, monkeypatch):
     assert sorted(map(tuple, filter_.contains(probes, "u").collect())) == local
     assert {c for c, _ in local} == {0, 1} and {k for c, k in local if c == 0} >= {f"k{i}" for i in range(2000, 2500)} and len(local) < 4000
     assert bloom.Bloom.build(keys.limit(0), "u", "n", [(10, 0.1, 2)]).contains(probes, "u").count() == 0
+
+
+def test_exact_jaccard_by_join_as_in_memory(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"g{j}" for j in range(i % 7, i % 7 + i % 5)]) for i in range(60)] + [(99, None)], "doc_id bigint, items array<string>")
+    queries = docs.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
+    local = sorted(map(tuple, lsh.exact_jaccard(queries, docs, 8).collect()))
+    monkeypatch.setattr(lsh, "HELD_ITEMS", -1)
+    assert sorted(map(tuple, lsh.exact_jaccard(queries, docs, 8).collect())) == local and len(local) == 8 * 7
+    assert lsh.exact_jaccard(queries.limit(0), docs, 8).count() == 0

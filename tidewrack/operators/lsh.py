@@ -33,6 +33,8 @@ class LshConfig:
 # Shapes of the two indices.
 NGRAM_LSH = LshConfig(32, 4)
 EMBEDDING_LSH = LshConfig(32, 16)
+#: Items of query sets that are sent to every task at most.
+HELD_ITEMS = 4_000_000
 
 
 def bands_of(signature: Column, config: LshConfig) -> Column:
@@ -116,12 +118,17 @@ def jaccard(a: Column, b: Column) -> Column:
 def exact_jaccard(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", id_col: str = "doc_id", items: str = "items") -> DataFrame:
     """(query id, id, ``score``, ``rank``): the k most similar sets of each query, the query's own included.
 
-    Only pairs that share an item are scored. A query with fewer than k of them is
+    While the queries' sets hold at most ``HELD_ITEMS`` items, every task has them
+    as an inverted index, counts its documents against all queries in one pass
+    and sends its k best of each; more queries are joined on shared items, with
+    the same answers: only pairs that share an item are scored. A query with fewer than k of them is
     filled up with score 0 by the lowest ids: the k + (its hits) lowest ids of all
     documents are enough to choose from. Null sets are left out.
     """
     q = queries.where(F.col(items).isNotNull()).select(F.col(query_id).alias("q"), F.array_distinct(items).alias("qi"))
     d = docs.where(F.col(items).isNotNull()).select(F.col(id_col).alias("d"), F.array_distinct(items).alias("di"))
+    if q.agg(F.coalesce(F.sum(F.size("qi")), F.lit(0)).alias("n")).first()["n"] <= HELD_ITEMS:
+        return _jaccard_in_memory(q, d, k).select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score", "rank")
     shared = q.select("q", F.size("qi").alias("qn"), F.explode("qi").alias("item")).join(d.select("d", F.size("di").alias("dn"), F.explode("di").alias("item")), "item")
     scored = shared.groupBy("q", "d").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("dn").alias("dn")).select("q", "d", F.round(F.col("n") / (F.col("qn") + F.col("dn") - F.col("n")), 9).alias("score"))
     best = top(scored, k, "q", "d").drop("rank")
@@ -133,6 +140,43 @@ def exact_jaccard(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "
     return both.select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score", "rank")
 
 
+def _jaccard_in_memory(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
+    """(``q``, ``d``, ``score``, ``rank``) for query sets (``q``, ``qi``) that fit in memory."""
+    held = [(r["q"], r["qi"]) for r in q.toLocalIterator()]
+    postings: dict[str, list[int]] = {}
+    for i, (_, own) in enumerate(held):
+        for x in own:
+            postings.setdefault(x, []).append(i)
+    index = q.sparkSession.sparkContext.broadcast(({x: np.array(p, np.int32) for x, p in postings.items()}, np.array([len(own) for _, own in held], np.int64)))
+    n = len(held)
+    kind = dict(d.dtypes)["d"]
+
+    def run(frames):
+        known, sizes = index.value
+        none = np.zeros(0, np.int32)
+        best: list[tuple[np.ndarray, ...]] | None = None
+        step = max(1, (1 << 22) // max(1, n))
+        for f in frames:
+            for at in range(0, len(f), step):
+                part = f.iloc[at : at + step]
+                ids = part.d.to_numpy()
+                inter = np.stack([np.bincount(np.concatenate([none, *(known[x] for x in own if x in known)]), minlength=n) for own in part.di])
+                union = sizes[None, :] + np.array([len(own) for own in part.di])[:, None] - inter
+                found = [np.broadcast_to(ids[:, None], inter.shape), inter, union]
+                best = found if best is None else [np.concatenate(x) for x in zip(best, found)]
+                score = np.floor(best[1] / np.maximum(best[2], 1) * 1e9 + 0.5)
+                order = np.lexsort((best[0], -score), axis=0)[:k]
+                best = [np.take_along_axis(x, order, axis=0) for x in best]
+        if best is not None:
+            rows = len(best[0])
+            yield pd.DataFrame({"i": np.tile(np.arange(n), rows), "d": best[0].ravel(), "inter": best[1].ravel(), "total": best[2].ravel()})
+
+    names = q.sparkSession.createDataFrame([(i, x) for i, (x, _) in enumerate(held)], f"i bigint, q {dict(q.dtypes)['q']}")
+    found = d.mapInPandas(run, f"i bigint, d {kind}, inter bigint, total bigint").join(F.broadcast(names), "i")
+    scored = found.select("q", "d", F.round(F.col("inter") / F.greatest("total", F.lit(1)), 9).alias("score"))
+    return top(scored, k, "q", "d")
+
+
 def exact_cosine(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", id_col: str = "doc_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
     """(query id, id, ``score``, ``rank``): the k most similar vectors of a stated query set, in blocks against all rows.
 

@@ -65,11 +65,12 @@ def signatures(sets: DataFrame, id_col: str, items_col: str, num_hashes: int = N
     Null sets are left out. ``max_vocabulary`` bounds the items whose hashes a task keeps.
     """
     known = sets.where(F.col(items_col).isNotNull())
+    room = max(1, max_vocabulary)
     tails = [salt.to_bytes(4, "little") for salt in salts(num_hashes, seed)]
     kind = dict(sets.dtypes)[id_col]
 
     def run(frames):
-        hashes = _Hashes(tails, max_vocabulary)
+        hashes = _Hashes(tails, room)
         for f in frames:
             out = []
             for own in f.s:
@@ -78,8 +79,8 @@ def signatures(sets: DataFrame, id_col: str, items_col: str, num_hashes: int = N
                     out.append([EMPTY] * num_hashes)
                     continue
                 least, winner = None, None
-                for at in range(0, len(own), max_vocabulary):
-                    rows = hashes.of(own[at : at + max_vocabulary])
+                for at in range(0, len(own), room):
+                    rows = hashes.of(own[at : at + room])
                     best = rows.argmin(axis=0)
                     value = rows[best, np.arange(num_hashes)]
                     if least is None:
