@@ -56,6 +56,11 @@ def crawl_bfs(spark, d):
     return crawl.reach(edges, seeds, None)
 
 
+def crawl_bfs_all(spark, d):
+    """The name that the whole walk had beside a limited one."""
+    return crawl_bfs(spark, d)
+
+
 def crawl_saved_pages(spark, d):
     """A crawl whose network is the table of saved pages."""
     pages = table(spark, d, "save_html_handler").where("url is not null and html is not null").select("url", "html")
