@@ -1,4 +1,6 @@
 import itertools
+import os
+import pickle
 import random
 import re
 from collections import Counter
@@ -270,6 +272,22 @@ def test_encoding_repair(spark):
     assert restored[101] == "ok text für" and restored[102] == clean[1]
 
 
+def test_encoding_models_are_sent_once_and_packed(spark, monkeypatch):
+    sent, send = [], spark.sparkContext.broadcast
+
+    def spy(value):
+        sent.append(send(value))
+        return sent[-1]
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", spy)
+    df = spark.createDataFrame([(i, f"für größe{i} über") for i in range(40)] + [(50, "fÃ¼r")], "record_id bigint, payload string")
+    assert [r.record_id for r in encoding_repair.Repair(df, "record_id", "payload").found().collect()] == [50]
+    assert len(sent) == 2 and not any(os.path.exists(b._path) for b in sent)
+    model = encoding_repair.train(spark.createDataFrame([("für", 1 << 20), ("über", 3)], "word string, n bigint"))
+    packed = pickle.dumps(model)
+    assert len(packed) < 1 << 20 and pickle.loads(packed).score("für") == model.score("für")
+
+
 # -- packing
 
 

@@ -21,7 +21,8 @@ U+FFFD stands for bytes that could not be decoded: such records are garbled, and
 those characters can't be restored.
 
 A model is a count-min table of ``ROWS`` x ``CELLS`` counters over all n-grams,
-so what goes to the executors has a fixed size and no n-gram is dropped.
+so what goes to the executors has a fixed size and no n-gram is dropped. Each model
+is sent once, packed, and its copies are given up when its last words are scored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,10 @@ class Model:
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"counts": self.counts, "total": self.total, "memo": {}}
+        return {"packed": zlib.compress(self.counts.tobytes(), 1), "kind": self.counts.dtype.str, "total": self.total}
+
+    def __setstate__(self, state):
+        self.__init__(np.frombuffer(zlib.decompress(state["packed"]), state["kind"]).reshape(ROWS, -1), state["total"])
 
     def count(self, kind: str, gram: str) -> int:
         return int(min(self.counts[row, c] for row, c in enumerate(_cells(kind, gram))))
@@ -257,9 +262,8 @@ def garble(i: int, w: str) -> str:
 _GAINS = "word string, gain_utf8 double, chain_utf8 string, fixed_utf8 string, gain_single double, chain_single string, fixed_single string"
 
 
-def scored(words: DataFrame, model: Model) -> DataFrame:
+def scored(words: DataFrame, shared: Broadcast[Model]) -> DataFrame:
     """The likeliest candidate of each family for the words (``word``) that have one likelier than themselves, written as a table."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         for f in frames:
@@ -277,7 +281,7 @@ def beyond(margins: dict[bool, float]) -> Column:
     return F.coalesce(F.col("gain_utf8") > margins[True], F.lit(False)) | F.coalesce(F.col("gain_single") > margins[False], F.lit(False))
 
 
-def validate(model: Model, words: DataFrame) -> tuple[dict[bool, float], float, float]:
+def validate(model: Broadcast[Model], words: DataFrame) -> tuple[dict[bool, float], float, float]:
     """(margins, share of false alarms, share of garbled words found) on the held-out words of a vocabulary, ``HELD_OUT`` of them at most."""
     held = F.crc32(F.encode("word", "UTF-8")) % 10 == 3
     sample = [r.word for r in words.where(held).orderBy(F.xxhash64("word")).limit(HELD_OUT).select("word").collect()]
@@ -308,13 +312,16 @@ class Repair:
         vocabulary = stage(long.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
         closed = self.words.where("not open").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         closed = stage(closed, "closed")
-        model = train(closed)
+        sc = rows.sparkSession.sparkContext
+        model = sc.broadcast(train(closed))
         first = scored(vocabulary, model).where(beyond(validate(model, closed)[0]))
+        model.destroy()
         suspect = long.join(first.select("word"), "word", "left_semi").select("id").unionAll(self.words.where("lost").select("id")).distinct()
         clean = stage(long.join(suspect, "id", "left_anti").groupBy("word").agg(F.count("*").alias("n")), "clean")
-        model = train(clean)
+        model = sc.broadcast(train(clean))
         gains = scored(vocabulary, model)
         self.margins, self.false_rate, self.recall = validate(model, clean)
+        model.destroy()
         over = F.coalesce(F.col("gain_utf8") > self.margins[True], F.lit(False))
         both = F.struct(*[F.when(over & (F.col("gain_utf8") >= F.coalesce("gain_single", F.lit(0.0))), F.col(f"{c}_utf8")).otherwise(F.when(F.col("gain_single") > self.margins[False], F.col(f"{c}_single")).otherwise(F.col(f"{c}_utf8"))).alias(c) for c in ("gain", "chain", "fixed")])
         self.fixes = gains.where(beyond(self.margins)).select("word", both.alias("b")).select("word", "b.chain", "b.fixed", "b.gain")
