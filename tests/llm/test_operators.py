@@ -288,6 +288,29 @@ def test_encoding_models_are_sent_once_and_packed(spark, monkeypatch):
     assert len(packed) < 1 << 20 and pickle.loads(packed).score("für") == model.score("für")
 
 
+def test_encoding_margins_come_from_all_words(spark):
+    words = [(f"größe{i}ü", 1 + i % 3) for i in range(60)]
+    model = encoding_repair.train(spark.createDataFrame(words, "word string, n bigint"))
+    assert model.total == sum(k for w, n in words for _, k in encoding_repair.weighed(w, n))
+    for w, n in words[:3]:
+        rest = encoding_repair.train(spark.createDataFrame([x for x in words if x[0] != w], "word string, n bigint"))
+        assert model.without(w, n).score(w) == pytest.approx(rest.score(w)) and model.score(w) > rest.score(w)
+    trained = spark.range(50_000).select(F.col("id").cast("string").alias("word"), F.lit(1).alias("n"))
+    gains = trained.select("word", "n", F.lit(False).alias("missed"), F.col("word").cast("double").alias("gain_held_utf8"), F.lit(None).cast("double").alias("gain_held_single"))
+    margins, share = encoding_repair.validate(gains, trained)
+    assert margins == {True: 49_999 - 25, False: 0.0} and share == encoding_repair.FALSE_RATE
+
+
+def test_encoding_repair_of_garbled_words_among_clean_ones(spark):
+    r = random.Random(5)
+    words = ["любой", "индекс", "сервер", "память", "граница", "мастерская", "ошибка", "страница", "каждый", "зеркало"]
+    clean = [" ".join(r.choice(words) for _ in range(12)) for _ in range(120)]
+    bad = {1000 + i: f"ok {w.encode('cp1251').decode('cp1252')}" for i, w in enumerate(words) for _ in range(2)}
+    df = spark.createDataFrame([*enumerate(clean), *bad.items()], "record_id bigint, payload string")
+    restored = {x.record_id: x.text for x in encoding_repair.Repair(df, "record_id", "payload").restored().collect()}
+    assert restored == {1000 + i: f"ok {w}" for i, w in enumerate(words)}
+
+
 # -- packing
 
 

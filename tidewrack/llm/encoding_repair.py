@@ -11,11 +11,13 @@ occurs:
 2. every chain - encode the word as some codec, decode the bytes as another, up
    to ``ROUNDS`` times for text garbled repeatedly - that is defined for a word gives a candidate,
    and the gain is the log-likelihood of the likeliest candidate over the word's own;
-3. the margin that a gain must pass is validated on held-out words, as they are
-   (no alarm wanted) and garbled by the chains (alarm wanted): it is the least
+3. the margin that a gain must pass is validated on all words of the clean records, each
+   held out in its turn (its own counts are taken off the model), as they are (no alarm
+   wanted) and garbled by a chain each (alarm wanted, ``recall``): it is the least
    gain at which no more than ``FALSE_RATE`` of the clean words would be changed.
    A held-out word whose likeliest candidate is itself a word of the clean
-   records is a garbled one that was missed before, and no example of a clean word.
+   records is no example of a clean word, but a garbled one that was missed before;
+   if the candidate occurs more often, its gain is the one it has when held out.
 
 U+FFFD stands for bytes that could not be decoded: such records are garbled, and
 those characters can't be restored.
@@ -40,12 +42,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.operators.ranking import global_rank
 from tidewrack.runtime import spread, stage
 
 ROWS = 2
 CELLS = 1 << 21
-#: Words held out to validate a margin: a bounded sample of labelled words.
-HELD_OUT = 20_000
 FALSE_RATE = 5e-4
 ROUNDS = 3
 #: Codecs that bytes of UTF-8 text are often decoded with by mistake.
@@ -140,6 +141,16 @@ def grams(word: str) -> list[str]:
     return [w[i - 2 : i + 1] for i in range(2, len(w))]
 
 
+def parts(g: str) -> tuple[tuple[str, str], ...]:
+    """What is counted of a trigram: itself, its bigram and character, and the contexts of both."""
+    return ("t", g), ("b", g[1:]), ("u", g[2]), ("2", g[:2]), ("1", g[1])
+
+
+def weighed(word: str, n: int) -> list[tuple[str, int]]:
+    """(trigram, count) of a word that occurs ``n`` times; a share of it counts in capitals, which are too rare to be learnt from headings alone."""
+    return [(g, weight * n) for form, weight in ((word, 20), (word.upper(), 1)) for g in grams(form)]
+
+
 def _cells(kind: str, gram: str) -> tuple[int, ...]:
     h = xxhash.xxh64_intdigest(kind + gram)
     return tuple((h >> 32 * row) % CELLS for row in range(ROWS))
@@ -151,6 +162,7 @@ class Model:
     def __init__(self, counts: np.ndarray, total: int):
         self.counts, self.total = counts, max(1, total)
         self.memo: dict[str, float] = {}
+        self.met: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {"packed": zlib.compress(self.counts.tobytes(), 1), "kind": self.counts.dtype.str, "total": self.total}
@@ -161,6 +173,19 @@ class Model:
     def count(self, kind: str, gram: str) -> int:
         return int(min(self.counts[row, c] for row, c in enumerate(_cells(kind, gram))))
 
+    def seen(self, g: str) -> tuple[int, ...]:
+        """The counts of a trigram's parts."""
+        known = self.met.get(g)
+        if known is None:
+            known = tuple(self.count(*x) for x in parts(g))
+            if len(self.met) < 1 << 18:
+                self.met[g] = known
+        return known
+
+    def without(self, word: str, n: int) -> Model:
+        """This model as if it had been trained without the ``n`` occurrences of a word."""
+        return _Without(self, word, n)
+
     def score(self, word: str) -> float:
         """Natural log-likelihood of a word."""
         out = 0.0
@@ -174,11 +199,12 @@ class Model:
         return out
 
     def _log(self, g: str) -> float:
-        p = 1e-7 + 0.05 * self.count("u", g[2]) / self.total
-        if c := self.count("1", g[1]):
-            p += 0.25 * min(1.0, self.count("b", g[1:]) / c)
-        if c := self.count("2", g[:2]):
-            p += 0.7 * min(1.0, self.count("t", g) / c)
+        t, b, u, two, one = self.seen(g)
+        p = 1e-7 + 0.05 * u / self.total
+        if one:
+            p += 0.25 * min(1.0, b / one)
+        if two:
+            p += 0.7 * min(1.0, t / two)
         return math.log(p)
 
     def best(self, word: str) -> dict[bool, tuple[float, str, str]]:
@@ -191,6 +217,19 @@ class Model:
         return top
 
 
+class _Without(Model):
+    def __init__(self, model: Model, word: str, n: int):
+        self.model, self.own, total = model, Counter(), model.total
+        for g, k in weighed(word, n):
+            total -= k
+            for x in parts(g):
+                self.own[x] += k
+        super().__init__(model.counts, total)
+
+    def seen(self, g: str) -> tuple[int, ...]:
+        return tuple(max(0, n - self.own[x]) for n, x in zip(self.model.seen(g), parts(g)))
+
+
 def words_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``words``, ``lost``, ``open``): distinct words beyond ASCII of each record that has any."""
 
@@ -208,27 +247,21 @@ def words_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(spread(picked).mapInPandas(run, "id bigint, words array<string>, lost boolean, open boolean"), "words")
 
 
-def _held_out(word: str) -> bool:
-    return zlib.crc32(word.encode()) % 10 == 3
-
-
 def train(vocabulary: DataFrame) -> Model:
-    """Model of a (``word``, ``n``) table; every tenth word is held out."""
+    """Model of a (``word``, ``n``) table."""
     pack = 1 << 12
 
     def run(frames):
         for f in frames:
             sums: Counter = Counter()
             for w, n in zip(f.word, f.n.values):
-                if not _held_out(w) and "�" not in w:
-                    # A share of each word counts in capitals, which are too rare to be learnt from headings alone.
-                    for form, weight in ((w, 20), (w.upper(), 1)):
-                        for g in grams(form):
-                            sums[g] += weight * int(n)
+                if "�" not in w:
+                    for g, k in weighed(w, int(n)):
+                        sums[g] += k
             cells: Counter = Counter()
             for g, n in sums.items():
                 cells[-1] += n
-                for kind, gram in (("t", g), ("b", g[1:]), ("u", g[2]), ("2", g[:2]), ("1", g[1])):
+                for kind, gram in parts(g):
                     for row, c in enumerate(_cells(kind, gram)):
                         cells[row * CELLS + c] += n
             yield pd.DataFrame({"cell": list(cells), "n": list(cells.values())}).astype("int64")
@@ -240,7 +273,7 @@ def train(vocabulary: DataFrame) -> Model:
             for block, g in f.groupby(f.cell // pack):
                 yield pd.DataFrame({"block": [block], "cells": [g.cell.to_numpy().tobytes()], "n": [g.n.to_numpy().tobytes()]})
 
-    counts, total = np.zeros(ROWS * CELLS, np.float32), 0
+    counts, total = np.zeros(ROWS * CELLS, np.int64), 0
     for r in sums.mapInPandas(packed, "block bigint, cells binary, n binary").collect():
         at, n = np.frombuffer(r.cells, np.int64), np.frombuffer(r.n, np.int64)
         if r.block < 0:
@@ -251,7 +284,7 @@ def train(vocabulary: DataFrame) -> Model:
 
 
 def garble(i: int, w: str) -> str:
-    """The word garbled by one chain, all chains in turn; the word itself where its chain isn't defined."""
+    """The word garbled by the chain of a number; the word itself where its chain isn't defined."""
     wrong, right = SWAPS[i // 2 % len(SWAPS)] if i % 2 else (SINGLE[i // 2 % 6], "utf_8")
     try:
         return w.encode(right).decode(wrong)
@@ -259,47 +292,70 @@ def garble(i: int, w: str) -> str:
         return w
 
 
-_GAINS = "word string, gain_utf8 double, chain_utf8 string, fixed_utf8 string, gain_single double, chain_single string, fixed_single string"
+_GAINS = ", ".join(["word string, n bigint", *(f"gain_{x} double, chain_{x} string, fixed_{x} string" for x in ("utf8", "single", "held_utf8", "held_single"))])
 
 
 def scored(words: DataFrame, shared: Broadcast[Model]) -> DataFrame:
-    """The likeliest candidate of each family for the words (``word``) that have one likelier than themselves, written as a table."""
+    """The likeliest candidate of each family for the words that have one likelier than themselves, written as a table.
+
+    ``n`` is how often the model was trained on the word, or on the word ``clean`` if
+    there is such a column; columns of ``held`` are by the model without these counts.
+    """
+    words = words if "clean" in words.columns else words.withColumn("clean", F.col("word"))
+    none = (None, None, None)
 
     def run(frames):
         for f in frames:
             got = []
-            for w in f.word:
+            for w, n, clean in zip(f.word, f.n.values, f.clean):
                 best = shared.value.best(w)
-                if any(t[0] > 0 for t in best.values()):
-                    got.append((w, *best.get(True, (None, None, None)), *best.get(False, (None, None, None))))
+                held = shared.value.without(clean, int(n)).best(w) if n else {}
+                if any(t[0] > 0 for x in (best, held) for t in x.values()):
+                    got.append((w, n, *(v for x in (best, held) for family in (True, False) for v in x.get(family, none))))
             yield pd.DataFrame(got, columns=[x.split()[0] for x in _GAINS.split(", ")])
 
-    return stage(spread(words.select("word")).mapInPandas(run, _GAINS), "gains")
+    return stage(spread(words.select("word", "n", "clean")).mapInPandas(run, _GAINS), "gains")
+
+
+def judged(gains: DataFrame, words: DataFrame) -> DataFrame:
+    """Gains with those of missed words put right, and ``missed``, written as a table; ``words`` (``word``, ``n``) are those of the model."""
+    out = gains.withColumn("missed", F.lit(False))
+    for x in ("utf8", "single"):
+        known = words.where("n > 0").select(F.col("word").alias(f"fixed_held_{x}"), F.col("n").alias("m"))
+        out = out.join(known, f"fixed_held_{x}", "left").withColumn("hit", F.coalesce((F.col(f"gain_held_{x}") > 0) & F.col("m").isNotNull(), F.lit(False)))
+        rarer = F.col("hit") & (F.col("m") > F.col("n"))
+        out = out.withColumns({f"{c}_{x}": F.when(rarer, F.col(f"{c}_held_{x}")).otherwise(F.col(f"{c}_{x}")) for c in ("gain", "chain", "fixed")})
+        out = out.withColumn("missed", F.col("missed") | F.col("hit")).drop("m", "hit")
+    return stage(out, "judged")
 
 
 def beyond(margins: dict[bool, float]) -> Column:
     return F.coalesce(F.col("gain_utf8") > margins[True], F.lit(False)) | F.coalesce(F.col("gain_single") > margins[False], F.lit(False))
 
 
-def validate(model: Broadcast[Model], words: DataFrame) -> tuple[dict[bool, float], float, float]:
-    """(margins, share of false alarms, share of garbled words found) on the held-out words of a vocabulary, ``HELD_OUT`` of them at most."""
-    held = F.crc32(F.encode("word", "UTF-8")) % 10 == 3
-    sample = [r.word for r in words.where(held).orderBy(F.xxhash64("word")).limit(HELD_OUT).select("word").collect()]
-    spark = words.sparkSession
-    spoilt = [(g,) for i, w in enumerate(sample) if (g := garble(i, w)) != w]
-    clean, bad = (scored(spark.createDataFrame(x, "word string"), model) for x in ([(w,) for w in sample], spoilt))
-    found = {r[0]: r[1:] for r in clean.select("word", "gain_utf8", "gain_single").collect()}
-    for family in ("utf8", "single"):
-        words_of_family = clean.where(f"gain_{family} > 0").select("word", F.col(f"fixed_{family}").alias("fixed"))
-        for r in words_of_family.join(words.select(F.col("word").alias("fixed")).distinct(), "fixed", "left_semi").collect():
-            found.pop(r.word, None)
+def validate(gains: DataFrame, words: DataFrame) -> tuple[dict[bool, float], float]:
+    """(margins, share of false alarms) on all words (``word``, ``n``) of a model, by their judged gains when held out."""
+    total = words.where("n > 0").count()
+    own = gains.where("n > 0 and not missed").select("word", F.col("gain_held_utf8").alias("gain_utf8"), F.col("gain_held_single").alias("gain_single"))
     margins = {}
-    for k, family in enumerate((True, False)):
-        gains = sorted((g[k] or 0.0 for g in found.values()), reverse=True)
-        allowed = int(FALSE_RATE * len(sample))
-        margins[family] = max(0.0, gains[allowed]) if len(gains) > allowed else 0.0
-    false = sum((g[0] or 0.0) > margins[True] or (g[1] or 0.0) > margins[False] for g in found.values()) / max(1, len(sample))
-    return margins, false, bad.where(beyond(margins)).count() / max(1, len(spoilt))
+    for utf8, gain in ((True, "gain_utf8"), (False, "gain_single")):
+        ranked = global_rank(own.where(F.col(gain) > 0).select((-F.col(gain)).alias("less"), "word"), ["less", "word"])
+        at = ranked.where(F.col("rank") == int(FALSE_RATE * total)).first()
+        margins[utf8] = -at.less if at else 0.0
+    return margins, own.where(beyond(margins)).count() / max(1, total)
+
+
+def recall(model: Broadcast[Model], words: DataFrame, margins: dict[bool, float]) -> float:
+    """Share of garbled words found, of the words (``word``, ``n``) a model was trained on, garbled by a chain each where it is defined."""
+
+    def run(frames):
+        for f in frames:
+            spoilt = [(garble(zlib.crc32(w.encode()), w), n, w) for w, n in zip(f.word, f.n.values)]
+            yield pd.DataFrame([x for x in spoilt if x[0] != x[2]], columns=["word", "n", "clean"])
+
+    spoilt = stage(words.where("n > 0").select("word", "n").mapInPandas(run, "word string, n bigint, clean string"), "spoilt")
+    gains = scored(spoilt, model).select(F.col("gain_held_utf8").alias("gain_utf8"), F.col("gain_held_single").alias("gain_single"))
+    return gains.where(beyond(margins)).count() / max(1, spoilt.count())
 
 
 class Repair:
@@ -309,23 +365,34 @@ class Repair:
         self.rows, self.id_col, self.text_col = rows, id_col, text_col
         self.words = words_of(rows, id_col, text_col)
         self.long = long = self.words.select("id", F.explode("words").alias("word"))
-        vocabulary = stage(long.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
-        closed = self.words.where("not open").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        closed = stage(closed, "closed")
-        sc = rows.sparkSession.sparkContext
-        model = sc.broadcast(train(closed))
-        first = scored(vocabulary, model).where(beyond(validate(model, closed)[0]))
-        model.destroy()
+        closed = self.words.select(F.explode("words").alias("word"), F.col("open").cast("bigint").alias("open"))
+        closed = stage(closed.groupBy("word").agg(F.sum(1 - F.col("open")).alias("n")), "closed")
+        _, first = self._gains(closed)
+        first = first.where(beyond(validate(first, closed)[0]))
         suspect = long.join(first.select("word"), "word", "left_semi").select("id").unionAll(self.words.where("lost").select("id")).distinct()
-        clean = stage(long.join(suspect, "id", "left_anti").groupBy("word").agg(F.count("*").alias("n")), "clean")
-        model = sc.broadcast(train(clean))
-        gains = scored(vocabulary, model)
-        self.margins, self.false_rate, self.recall = validate(model, clean)
-        model.destroy()
+        marked = long.join(suspect.withColumn("suspect", F.lit(1)), "id", "left")
+        self.clean = stage(marked.groupBy("word").agg(F.sum(1 - F.coalesce("suspect", F.lit(0))).alias("n")), "clean")
+        self.model, gains = self._gains(self.clean)
+        self.margins, self.false_rate = validate(gains, self.clean)
         over = F.coalesce(F.col("gain_utf8") > self.margins[True], F.lit(False))
         both = F.struct(*[F.when(over & (F.col("gain_utf8") >= F.coalesce("gain_single", F.lit(0.0))), F.col(f"{c}_utf8")).otherwise(F.when(F.col("gain_single") > self.margins[False], F.col(f"{c}_single")).otherwise(F.col(f"{c}_utf8"))).alias(c) for c in ("gain", "chain", "fixed")])
         self.fixes = gains.where(beyond(self.margins)).select("word", both.alias("b")).select("word", "b.chain", "b.fixed", "b.gain")
 
+    def _gains(self, vocabulary: DataFrame) -> tuple[Model, DataFrame]:
+        """Model of the words of a vocabulary (``word``, ``n``) with ``n`` > 0, and what all of its words gain."""
+        model = train(vocabulary.where("n > 0"))
+        shared = vocabulary.sparkSession.sparkContext.broadcast(model)
+        gains = judged(scored(vocabulary, shared), vocabulary)
+        shared.destroy()
+        return model, gains
+
+    def recall(self) -> float:
+        """Share of the clean words, garbled by one chain each, that would be found."""
+        model = self.rows.sparkSession.sparkContext.broadcast(self.model)
+        share = recall(model, self.clean, self.margins)
+        model.destroy()
+        return share
+
     def found(self) -> DataFrame:
         """(id, ``words``, ``restorable``) of garbled records."""
         hits = self.long.join(self.fixes.select("word"), "word").groupBy("id").agg(F.count("*").alias("words"))
@@ -350,5 +417,5 @@ class Repair:
 
     def report(self) -> DataFrame:
         """One row: garbled records, restorable ones, margin and its validation."""
-        return self.found().agg(F.count("*").alias("garbled"), F.coalesce(F.sum(F.col("restorable").cast("bigint")), F.lit(0)).alias("restorable")).select("garbled", "restorable", F.lit(float(self.margins[True])).alias("margin_utf8"), F.lit(float(self.margins[False])).alias("margin_single_byte"), F.lit(float(self.false_rate)).alias("held_out_false_rate"), F.lit(float(self.recall)).alias("held_out_recall"))
+        return self.found().agg(F.count("*").alias("garbled"), F.coalesce(F.sum(F.col("restorable").cast("bigint")), F.lit(0)).alias("restorable")).select("garbled", "restorable", F.lit(float(self.margins[True])).alias("margin_utf8"), F.lit(float(self.margins[False])).alias("margin_single_byte"), F.lit(float(self.false_rate)).alias("held_out_false_rate"), F.lit(float(self.recall())).alias("held_out_recall"))
 
