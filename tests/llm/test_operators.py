@@ -255,6 +255,44 @@ def test_nested_classes():
     assert main_content.nested({(-1, 1): [(0, 5), (1, 6)]})[0][1] != main_content.nested({(-1, 1): [(0, 6), (1, 5)]})[0][1]
 
 
+@pytest.mark.parametrize("n", [4, 24])
+def test_main_content_with_headings_in_free_order(spark, n):
+    r = random.Random(11)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(12))
+    rows, own = [], {}
+    for i in range(n):
+        heads = ["Tools", "Steps", "Hints", "Costs"]
+        heads = heads[i % 4 :] + heads[: i % 4]
+        own[i] = [f"Title {line()}", *(x for h in heads for x in (h, line()))]
+        text = "".join(f"<h2>{x}</h2>" if x in heads else f"<p>{x}</p>" for x in own[i][1:])
+        rows.append(("s", i, f"http://h.example/p{i}", page(own[i][0], []).replace("</h1>", "</h1>" + text)))
+    assert bodies(spark, rows) == own
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_main_content_with_a_notice_that_moves(spark, together):
+    r = random.Random(12)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(12))
+    rows, own = [], {}
+    for i in range(24):
+        heads = ["Tools", "Steps", "Hints"]
+        heads = heads[i % 3 :] + heads[: i % 3] if together else []
+        own[i] = [f"Title {line()}", line(), *(x for h in heads for x in (h, line()))]
+        text = "".join(f"<h2>{x}</h2>" if x in heads else f"<p>{x}</p>" for x in own[i][1:])
+        html = page(own[i][0], []).replace("</h1>", "</h1>" + text)
+        notice = "<div>Our new letter comes out on each first Monday of the month.</div>"
+        rows.append(("s", i, f"http://h.example/p{i}", html.replace("<nav>", notice + "<nav>") if i % 2 else html.replace("</footer>", "</footer>" + notice)))
+    assert bodies(spark, rows) == own
+
+
+def test_movers_and_places():
+    assert main_content.movers([]) == (set(), set()) and main_content.movers([(1, 2)]) == ({1, 2}, set())
+    assert main_content.movers([(1, 9), (2, 9), (3, 9)]) == (set(), {9})
+    assert main_content.movers([(1, 2), (1, 3), (2, 3), (1, 9), (2, 9), (3, 9), (4, 9)]) == ({1, 2, 3}, {9})
+    got = main_content.places({(-5, 2): [(21, 8), (20, 1)]}, {(-9, 1): [0, 5], (-3, 3): [2]})
+    assert sorted(got) == [((2, False), 20, 1, 1), ((2, False), 21, 1, 2), ((2, True), 20, 21, 1)]
+
+
 # -- encoding
 
 

@@ -11,8 +11,11 @@
    form an equivalence class. A vector is an order-free 64-bit sum of hashes of
    (page, exact count): an aggregate with map-side combine, so no host is gathered
    anywhere. A class is valid if its tokens come in one order on every page and
-   it nests with the other classes (its span never crosses theirs); the tokens of
-   an invalid class stand alone, and a lone token needs twice the pages. What is
+   it nests with the other classes (its span never crosses theirs). An invalid class
+   is split: tokens that only change places with each other, inside one gap of the
+   rest, come in the page's own order and are no template (but links, which menus shuffle);
+   one that moves across the template (a notice above or below) is a part of its own; the
+   others are parts by the gaps of the valid stronger classes they stand in. A lone token needs twice the pages. What is
    template of several hosts (labels of a language or a site builder) is template
    of the collection, which serves hosts with few pages.
 4. ``slots``: the template's gaps are elements. An element's role is its path and
@@ -32,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -222,7 +226,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def _placed(pages: DataFrame, picked: DataFrame) -> DataFrame:
-    """(``src``, ``rec_id``, ``host``, ``unit``, ``token``, ``pos``, ``n``) of the picked pages: first place and count of each token."""
+    """(``src``, ``rec_id``, ``host``, ``unit``, ``token``, ``pos``, ``n``, ``link``) of the picked pages: first place and count of each token, and whether it is a link there."""
 
     def run(frames):
         for f in frames:
@@ -232,10 +236,11 @@ def _placed(pages: DataFrame, picked: DataFrame) -> DataFrame:
             each = [len(values) for values, _, _ in counted]
             rows = {c: np.repeat(f[c].to_numpy(), each) for c in ("src", "rec_id", "host", "unit")}
             token, pos, n = (np.concatenate([x[i] for x in counted]) for i in range(3))
-            yield pd.DataFrame(rows | {"token": token, "pos": pos.astype(np.int32), "n": n.astype(np.int32)})
+            link = np.concatenate([np.append(flags, np.zeros(len(tokens) - len(flags), flags.dtype))[x[1]] & _LINKED for flags, tokens, x in zip(f["flags"], f["tokens"], counted)])
+            yield pd.DataFrame(rows | {"token": token, "pos": pos.astype(np.int32), "n": n.astype(np.int32), "link": link == _LINKED})
 
-    both = pages.select("src", "rec_id", "tokens").join(picked, ["src", "rec_id"])
-    return both.mapInPandas(run, "src string, rec_id bigint, host string, unit bigint, token bigint, pos int, n int")
+    both = pages.select("src", "rec_id", "tokens", "flags").join(picked, ["src", "rec_id"])
+    return both.mapInPandas(run, "src string, rec_id bigint, host string, unit bigint, token bigint, pos int, n int, link boolean")
 
 
 def template(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,16 +248,16 @@ def template(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     picked = distinct_pages(pages)
     placed = stage(_placed(pages, picked), "placed")
     vector = F.sum(F.shiftright(F.xxhash64("unit", "n"), 16)).alias("vector")
-    per_host = stage(placed.groupBy("host", "token").agg(F.count("*").alias("support"), vector), "vectors")
+    per_host = stage(placed.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("link").alias("link"), vector), "vectors")
     sizes = picked.groupBy("host").agg(F.count("*").alias("pages"))
     share = F.col("support") / F.col("pages")
     often = per_host.where(F.col("support") >= CLASS_PAGES).join(sizes, "host").where(share >= SHARE)
     members = often.groupBy("host", "vector").agg(F.count("*").alias("members"))
     often = stage(often.join(members, ["host", "vector"]), "often")
-    broken = _broken(placed, often.where("members > 1"))
-    valid = often.join(broken, ["host", "vector"], "left_anti").where("members > 1")
-    alone = often.where(f"support >= {LONE_PAGES} or support >= {MOST} * pages")
-    own = stage(valid.select("host", "token").unionAll(alone.select("host", "token")).distinct(), "classes")
+    broken = stage(_broken(placed, often.where("members > 1")), "broken")
+    whole = often.join(broken, ["host", "vector"], "left_anti").select("host", "token", "support", "pages", "members")
+    judged = whole.unionAll(_parts(placed, often.where("members > 1"), broken).select("host", "token", "support", "pages", "members"))
+    own = stage(judged.where(f"members > 1 or support >= {LONE_PAGES} or support >= {MOST} * pages").select("host", "token"), "classes")
     wide = own.groupBy("token").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select(F.lit(None).cast("string").alias("host"), "token")
     return own.unionAll(wide), picked
 
@@ -276,6 +281,78 @@ def _broken(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return judged.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.max(F.col("crossed").cast("int")).alias("c")).where("a <> b or c > 0").select("host", "vector")
 
 
+def _parts(placed: DataFrame, classes: DataFrame, broken: DataFrame) -> DataFrame:
+    """Tokens of the broken classes but data in free order, as ``classes`` has them, with the ``members`` of their part."""
+    marked = classes.join(broken.withColumn("bad", F.lit(True)), ["host", "vector"], "left").join(broken.select("host").distinct(), "host", "left_semi")
+    hits = placed.join(marked.select("host", "token", "vector", "support", F.col("bad").isNotNull().alias("bad")), ["host", "token"])
+    per_page = hits.groupBy("src", "rec_id", "host").agg(F.collect_list(F.struct("pos", "token", "vector", "support", "bad")).alias("h")).where(F.exists("h", lambda x: x["bad"]))
+
+    def run(frames):
+        for f in frames:
+            sums: dict[tuple, tuple[int, int]] = {}
+            for host, found in zip(f.host, f.h):
+                good: dict[tuple[int, int], list[int]] = {}
+                bad: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for r in found:
+                    key = (-int(r["support"]), int(r["vector"]))
+                    if r["bad"]:
+                        bad.setdefault(key, []).append((int(r["token"]), int(r["pos"])))
+                    else:
+                        good.setdefault(key, []).append(int(r["pos"]))
+                for pair, a, b, n in places(bad, good):
+                    lo, hi = sums.get(key := (host, *pair, a, b), (n, n))
+                    sums[key] = min(lo, n), max(hi, n)
+            yield pd.DataFrame([(*key, *n) for key, n in sums.items()], columns=["host", "vector", "paired", "a", "b", "lo", "hi"])
+
+    seen = per_page.select("host", "h").mapInPandas(run, "host string, vector bigint, paired boolean, a bigint, b bigint, lo int, hi int")
+    seen = stage(seen.groupBy("host", "vector", "paired", "a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "places")
+
+    def move(f: pd.DataFrame) -> pd.DataFrame:
+        across = set(f.a[~f.paired].tolist())
+        free, loose = movers([p for p, paired in zip(zip(f.a.tolist(), f.b.tolist()), f.paired) if paired and not across.intersection(p)])
+        across |= loose
+        out = [(f.host.iloc[0], f.vector.iloc[0], x, x in free) for x in sorted(across | free)]
+        return pd.DataFrame(out, columns=["host", "vector", "token", "free"])
+
+    moved = seen.where("lo <> hi").groupBy("host", "vector").applyInPandas(move, "host string, vector bigint, token bigint, free boolean")
+    gap = F.sum(F.shiftright(F.xxhash64("b", "lo"), 16)).alias("part")
+    gaps = seen.where("not paired").groupBy("host", "vector", F.col("a").alias("token")).agg(gap)
+    kept = classes.drop("members").join(broken, ["host", "vector"], "left_semi").join(moved, ["host", "vector", "token"], "left").where("free is null or not free or link")
+    kept = kept.join(gaps, ["host", "vector", "token"], "left").withColumn("part", F.when(F.col("free").isNotNull(), F.col("token")).otherwise(F.coalesce("part", F.lit(0))))
+    kept = stage(kept, "parts")
+    return kept.join(kept.groupBy("host", "vector", "part").agg(F.count("*").alias("members")), ["host", "vector", "part"])
+
+
+def places(bad: dict[tuple[int, int], list[tuple[int, int]]], good: dict[tuple[int, int], list[int]]) -> list[tuple[tuple[int, bool], int, int, int]]:
+    """((class, whether a pair), a, b, n) of one page's broken classes {(-support, class): [(token, place)]} beside the valid ones {(-support, class): [place]}.
+
+    A pair of tokens ``a`` < ``b`` of a class has n = 1 if ``a`` comes first; a token
+    ``a`` and a stronger valid class ``b`` have the number of that class's tokens before it.
+    """
+    out = []
+    for (strength, vector), found in bad.items():
+        found = sorted(found)
+        for k, (a, at) in enumerate(found):
+            out += [((vector, True), a, b, int(at < other)) for b, other in found[k + 1 :]]
+            out += [((vector, False), a, v, sum(p < at for p in others)) for (s, v), others in good.items() if (s, v) < (strength, vector)]
+    return out
+
+
+def movers(pairs: list[tuple[int, int]]) -> tuple[set[int], set[int]]:
+    """Of tokens in pairs that change places, those that only do so with each other, and those that do so with tokens that stay.
+
+    As long as there are pairs, the tokens in most of them are taken out, equals together; what is never taken out stays.
+    """
+    left, out = pairs, set()
+    while left:
+        n = Counter(x for p in left for x in p)
+        most = max(n.values())
+        out |= {x for x in n if n[x] == most}
+        left = [p for p in left if not out.intersection(p)]
+    loose = {x for p in pairs for x in p if x in out and not out.issuperset(p)}
+    return out - loose, loose
+
+
 def nested(spots: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple[int, int, bool]]:
     """(class, hash of its order, whether it crosses a stronger class) of one page's classes {(-support, class): [(place, token)]}.
 
