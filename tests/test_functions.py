@@ -166,6 +166,68 @@ def test_ngram_search_scores_all(spark):
     assert best[0].candidate_size > 50 and (best[0].doc_id, best[0].score) == (900, 1.0) and len(best) == 5
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_counted_evaluation(spark, block):
+    """Counting without pairs agrees with the join: queries with and without hits, ids that come twice, null ids, several blocks."""
+    r = random.Random(7)
+    signed = [(i, [str(r.randrange(3)) for _ in range(4)]) for i in [*range(30), 0, 5, None, None]] + [(40, ["x"] * 4), (41, None)]
+    df = spark.createDataFrame(signed, "doc_id bigint, signature array<string>")
+    shape = lsh.LshConfig(2, 2)
+    keys, idx = lsh.keyed(df, shape), lsh.index(df, shape)
+    asked = F.col("doc_id") % 5 == 0
+    pairs = spark.createDataFrame([(q, d) for q in range(0, 30, 5) for d in range(q, q + 12)] + [(0, 3), (0, None)], "query_id bigint, doc_id bigint")
+    truths = {"all": pairs, "some": pairs.where("query_id < 12 and doc_id % 3 = 0"), "none": pairs.where("false")}
+    got = lsh.evaluate_counted(keys, keys.where(asked).withColumnRenamed("doc_id", "query_id"), 2, truths, block=block)
+    queries = idx.where(asked).withColumnRenamed("doc_id", "query_id")
+    found = lsh.candidates(queries, idx)
+    for name, truth in truths.items():
+        expected = lsh.evaluate(found, truth, queries)
+        assert sorted(got.where(F.col("truth") == name).drop("truth").collect()) == sorted(expected.select("query_id", "candidate_size", "hits", "recall").collect())
+
+
+def test_contrast_report(spark, small):
+    """Sizes and recall from the pairs themselves, and no staged pairs."""
+    from tidewrack import runtime
+    from tidewrack.operators.search import EmbeddingIndex
+    from tidewrack.plans import similarity as s
+
+    before = len(runtime._staged)
+    got = {(x["index"], x.truth): (x.queries, x.candidate_size, x.recall_at_k) for x in s.lsh_contrast_report(spark, small).collect()}
+    assert not [p for p in runtime._staged[before:] if "/found-" in p]
+    docs, sets = s._docs(spark, small), s._sets(spark, small)
+    coded = vectors.encode(docs, "doc_id", "text", s.gram_vectors, s.DIM)
+    truths = {"jaccard": lsh.exact_jaccard(s._asked(sets), sets, s.JACCARD_K), "cosine": lsh.exact_cosine(s._asked(coded), coded, s.JACCARD_K)}
+    found = {"ngram": s.lsh_ngram_candidates(spark, small), "embedding": EmbeddingIndex(coded, s.DIM).candidates(s._asked(coded))[1]}
+    for (name, f), (truth, t) in [(x, y) for x in found.items() for y in truths.items()]:
+        assert got[name, truth] == tuple(lsh.summary(lsh.evaluate(f, t, s._asked(sets))).first())
+    assert len(got) == 4
+
+
+def test_jaccard_keeps_items_once(spark):
+    """The driver's memory follows the distinct items, not the items of all queries."""
+    import tracemalloc
+
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda x: F.concat(F.lit("item-"), x)).alias("items"))
+    q = df.withColumnRenamed("doc_id", "query_id")
+    tracemalloc.start()
+    best = lsh.exact_jaccard(q, df.where("doc_id < 2"), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6 and {(x.doc_id, x.score) for x in best.collect()} == {(0, 1.0)}
+
+
+def test_exact_cosine_in_parts(spark, monkeypatch):
+    """The best of a task over many parts, with ties by id."""
+    monkeypatch.setattr(lsh, "CELLS", 7)
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").coalesce(2)
+    got = lsh.exact_cosine(df.where("doc_id % 30 = 0").withColumnRenamed("doc_id", "query_id"), df, 4, block=2)
+    v = {i: np.array(x) / (np.linalg.norm(x) or 1) for i, x in rows}
+    best = {q: sorted(v, key=lambda i: (-np.round(v[q] @ v[i], 9), i))[:4] for q in range(0, 90, 30)}
+    assert {(x.query_id, x["rank"]): x.doc_id for x in got.collect()} == {(q, n + 1): i for q, own in best.items() for n, i in enumerate(own)}
+
+
 def test_reach_to_the_end(spark, tmp_path):
     """A chain of 20 links behind a loop, from a seed with a high id, without and with an empty parent."""
     from tidewrack.plans import crawl

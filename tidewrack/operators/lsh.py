@@ -7,6 +7,7 @@ by an inverted join on shared items, cosine by blocks of queries against all row
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,8 @@ NGRAM_LSH = LshConfig(32, 4)
 EMBEDDING_LSH = LshConfig(32, 16)
 #: Items of query sets that are sent to every task at most.
 HELD_ITEMS = 4_000_000
+#: Scores of query and document that a task of an exact search holds at once, besides its best.
+CELLS = 1 << 20
 
 
 def bands_of(signature: Column, config: LshConfig) -> Column:
@@ -56,9 +59,13 @@ def _bands(signature: Column, config: LshConfig, is_bits: bool) -> Column:
 
 def index(signatures: DataFrame, config: LshConfig, id_col: str = "doc_id", bits: bool = False) -> DataFrame:
     """(``band``, ``band_key``, id) of each signature; null signatures are left out."""
+    return keyed(signatures, config, id_col, bits).select(id_col, F.posexplode("keys").alias("band", "band_key")).select("band", "band_key", id_col)
+
+
+def keyed(signatures: DataFrame, config: LshConfig, id_col: str = "doc_id", bits: bool = False) -> DataFrame:
+    """(id, ``keys``): a row of band keys for each signature; null signatures are left out."""
     s = F.col("signature")
-    keys = bit_bands_of(s, config) if bits else bands_of(s, config)
-    return signatures.where(s.isNotNull()).select(id_col, F.posexplode(keys).alias("band", "band_key")).select("band", "band_key", id_col)
+    return signatures.where(s.isNotNull()).select(id_col, (bit_bands_of(s, config) if bits else bands_of(s, config)).alias("keys"))
 
 
 def buckets(idx: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -142,12 +149,15 @@ def exact_jaccard(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "
 
 def _jaccard_in_memory(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
     """(``q``, ``d``, ``score``, ``rank``) for query sets (``q``, ``qi``) that fit in memory."""
-    held = [(r["q"], r["qi"]) for r in q.toLocalIterator()]
-    postings: dict[str, list[int]] = {}
-    for i, (_, own) in enumerate(held):
-        for x in own:
-            postings.setdefault(x, []).append(i)
-    index = q.sparkSession.sparkContext.broadcast(({x: np.array(p, np.int32) for x, p in postings.items()}, np.array([len(own) for _, own in held], np.int64)))
+    held: list[tuple] = []
+    # An item's text is kept once, not once for each query that has it.
+    postings: dict[str, array] = {}
+    for i, r in enumerate(q.toLocalIterator()):
+        held.append((r["q"], len(r["qi"])))
+        for x in r["qi"]:
+            postings.setdefault(x, array("i")).append(i)
+    index = q.sparkSession.sparkContext.broadcast(({x: np.array(p, np.int32) for x, p in postings.items()}, np.array([size for _, size in held], np.int64)))
+    del postings
     n = len(held)
     kind = dict(d.dtypes)["d"]
 
@@ -155,7 +165,7 @@ def _jaccard_in_memory(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
         known, sizes = index.value
         none = np.zeros(0, np.int32)
         best: list[tuple[np.ndarray, ...]] | None = None
-        step = max(1, (1 << 22) // max(1, n))
+        step = max(k, CELLS // max(1, n))
         for f in frames:
             for at in range(0, len(f), step):
                 part = f.iloc[at : at + step]
@@ -206,13 +216,18 @@ def exact_cosine(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "q
 
         def run(frames):
             qid, qv = shared.value
+            best: list[np.ndarray] | None = None
+            step = max(k, CELLS // len(qid))
             for f in frames:
-                if len(f):
-                    s = np.round(qv @ unit(f.v.tolist()).T, 9)
-                    ids = np.broadcast_to(f.d.values, s.shape)
-                    order = np.lexsort((ids, -s), axis=1)[:, :k]
-                    rows = np.repeat(np.arange(len(qid)), order.shape[1])
-                    yield pd.DataFrame({"q": qid[rows], "d": f.d.values[order.ravel()], "score": s[rows, order.ravel()]})
+                for at in range(0, len(f), step):
+                    part = f.iloc[at : at + step]
+                    s = np.round(qv @ unit(part.v.tolist()).T, 9)
+                    found = [np.broadcast_to(part.d.to_numpy(), s.shape), s]
+                    best = found if best is None else [np.concatenate(x, axis=1) for x in zip(best, found)]
+                    order = np.lexsort((best[0], -best[1]), axis=1)[:, :k]
+                    best = [np.take_along_axis(x, order, axis=1) for x in best]
+            if best is not None:
+                yield pd.DataFrame({"q": np.repeat(qid, best[0].shape[1]), "d": best[0].ravel(), "score": best[1].ravel()})
 
         part = d.mapInPandas(run, schema)
         out = part if out is None else out.unionAll(part)
@@ -261,6 +276,77 @@ def evaluate(found: DataFrame, truth: DataFrame, queries: DataFrame, query_id: s
     return out.select(query_id, F.coalesce("candidate_size", zero).alias("candidate_size"), h.alias("hits"), (h / F.greatest(F.coalesce("wanted", zero), F.lit(1))).alias("recall"))
 
 
+def evaluate_counted(keys: DataFrame, asked: DataFrame, bands: int, truths: dict[str, DataFrame], query_id: str = "query_id", id_col: str = "doc_id", block: int = 4096) -> DataFrame:
+    """As :func:`evaluate` for several truths at once, with a row for each query and ``truth``, but no candidate pair leaves its task.
+
+    ``keys`` is the index by documents (:func:`keyed`), ``asked`` its rows that are
+    queries, with ``query_id``; both are read more than once. The keys and truths of
+    a block of queries are sent to every task, which counts its documents against
+    them; the rows of an id that comes more than once are gathered first.
+    """
+    spark, names = keys.sparkSession, list(truths)
+
+    def by_id(df: DataFrame, name: str) -> DataFrame:
+        if not df.groupBy(name).count().where("count > 1").limit(1).count():
+            return df.select(name, "keys")
+        return df.groupBy(name).agg(F.flatten(F.collect_list("keys")).alias("keys"))  # the band is still the place modulo ``bands``
+
+    docs = by_id(keys, id_col).select(F.col(id_col).cast("string").alias("d"), "keys")
+    q = by_id(asked.where(F.col(query_id).isNotNull()), query_id)
+    for k, name in enumerate(names):
+        own = truths[name].groupBy(query_id).agg(F.collect_list(F.col(id_col).cast("string")).alias(f"t{k}"), F.count("*").alias(f"w{k}"))
+        q = q.join(own, query_id, "left")
+    schema = "i bigint, n bigint, " + ", ".join(f"h{k} bigint" for k in range(len(names)))
+    kind = dict(q.dtypes)[query_id]
+    out, held = None, []
+    places: list[dict[str, array]] = [{} for _ in range(bands)]
+    wanted: list[dict[str, array]] = [{} for _ in names]
+
+    def flush():
+        nonlocal out, held, places, wanted
+        n = len(held)
+        shared = spark.sparkContext.broadcast(tuple([{x: np.array(p, np.int32) for x, p in part.items()} for part in parts] for parts in (places, wanted)))
+
+        def run(frames):
+            known, truth = shared.value
+            met, total, hits = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros((len(truth), n), np.int64)
+            for f in frames:
+                for d, own in zip(f.d, f["keys"]):
+                    met[:] = False
+                    for at, x in enumerate(own):
+                        if (p := known[at % bands].get(x)) is not None:
+                            met[p] = True
+                    total += met
+                    for h, t in zip(hits, truth):
+                        if (p := t.get(d)) is not None:
+                            np.add.at(h, p[met[p]], 1)
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"i": some, "n": total[some]} | {f"h{k}": h[some] for k, h in enumerate(hits)})
+
+        sums = docs.mapInPandas(run, schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in ("n", *[f"h{k}" for k in range(len(names))])])
+        rows = spark.createDataFrame([(i, *x) for i, x in enumerate(held)], f"i bigint, q {kind}, " + ", ".join(f"w{k} bigint" for k in range(len(names))))
+        part = rows.join(sums, "i", "left")
+        out = part if out is None else out.unionAll(part)
+        held, places, wanted = [], [{} for _ in range(bands)], [{} for _ in names]
+
+    for r in q.toLocalIterator():
+        i = len(held)
+        held.append((r[query_id], *[r[f"w{k}"] or 0 for k in range(len(names))]))
+        for at, x in enumerate(r["keys"]):
+            places[at % bands].setdefault(x, array("i")).append(i)
+        for k, own in enumerate(wanted):
+            for d in r[f"t{k}"] or []:
+                own.setdefault(d, array("i")).append(i)
+        if len(held) == block:
+            flush()
+    if held or out is None:
+        flush()
+    zero = F.lit(0).cast("bigint")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("truth"), F.coalesce(f"h{k}", zero).alias("hits"), F.col(f"w{k}").alias("wanted")) for k, name in enumerate(names)]))
+    out = out.select(F.col("q").alias(query_id), F.coalesce("n", zero).alias("candidate_size"), each.alias("e"))
+    return out.select(query_id, "candidate_size", "e.truth", "e.hits", (F.col("e.hits") / F.greatest("e.wanted", F.lit(1))).alias("recall"))
+
+
 def summary(evaluated: DataFrame, *by: str) -> DataFrame:
     """Means over queries: ``queries``, ``candidate_size``, ``recall``."""
     aggs = [F.count("*").alias("queries"), F.round(F.avg("candidate_size"), 6).alias("candidate_size"), F.round(F.avg("recall"), 6).alias("recall")]

@@ -149,14 +149,16 @@ def lsh_contrast_report(spark, d):
         "jaccard": stage(lsh.exact_jaccard(_asked(sets), sets, JACCARD_K), "truth"),
         "cosine": stage(lsh.exact_cosine(_asked(vectors), vectors, JACCARD_K), "truth"),
     }
-    idx = stage(lsh.index(minhash.signatures(sets, "doc_id", "items"), NGRAM_LSH), "bands")
-    emb = EmbeddingIndex(vectors, DIM)
-    found = {"ngram": stage(_probe(idx), "found"), "embedding": stage(emb.candidates(_asked(vectors))[1], "found")}
+    keys = {
+        "ngram": lsh.keyed(minhash.signatures(sets, "doc_id", "items"), NGRAM_LSH),
+        "embedding": lsh.keyed(EmbeddingIndex(vectors, DIM).signatures, EMBEDDING_LSH, bits=True),
+    }
     out = None
-    for name, f in found.items():
-        for truth, t in truths.items():
-            s = lsh.summary(lsh.evaluate(f, t, _asked(sets))).select(F.lit(name).alias("index"), F.lit(truth).alias("truth"), "queries", "candidate_size", F.col("recall").alias("recall_at_k"))
-            out = s if out is None else out.unionAll(s)
+    for name, k in keys.items():
+        k = stage(k, "bands")
+        e = lsh.evaluate_counted(k, _asked(k), NGRAM_LSH.bands if name == "ngram" else EMBEDDING_LSH.bands, truths)
+        s = lsh.summary(e, "truth").select(F.lit(name).alias("index"), "truth", "queries", "candidate_size", F.col("recall").alias("recall_at_k"))
+        out = s if out is None else out.unionAll(s)
     return out
 
 
